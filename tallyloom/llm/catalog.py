@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, common, jaccard, langid, media, packing, quality, substrings
+from tallyloom.llm import bpe, common, jaccard, langid, media, packing, pii, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(common.table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(common.table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (common.crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {"op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op6_jaccard": op6_jaccard, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
+QUERIES: dict[str, Query] = {"op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -34,7 +34,7 @@ def test_verdict(spark):
     got = {r["doc_id"]: (r["base_failed"], r["kept"], r["words_left"]) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] == (False, True, 12)
     assert got[100] == (False, False, 2) and got[102] == (False, False, 0)
-    assert got[101] == (False, True, 15)
+    assert got[101] == (False, True, 16)
     assert got[103] == (True, False, 0)
     assert got[200] == (False, True, 12)
 
