@@ -7,11 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, common, jaccard, langid, media, packing, pii, quality, substrings
+from tallyloom.llm import bpe, common, jaccard, langid, media, packing, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
+    got = toxicity.score(docs.select("doc_id", "text"), machine)
+    return got.select("doc_id", (common.crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(common.table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (common.crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {"op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}
