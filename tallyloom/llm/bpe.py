@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -33,7 +34,7 @@ from tallyloom.llm import common
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks kept per Python worker; beyond it the cache starts anew, which costs time but changes nothing.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
 #: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -114,7 +115,7 @@ class Codec:
         self._trie()
         self.word_re = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.ascii_re = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-        self.space_re = re.compile(f"[{SPACE}]+")
+        self.space_re = re.compile(f"[{SPACE[5:]}]")  # those beyond ASCII
         self.special_re = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         #: Ids of chunks and of words.
         self.cache: dict[str, bytes] = {}
@@ -254,43 +255,57 @@ class Codec:
                     heapq.heappush(heap, (m[0], p, m[1], ids[p], ids[q]))
         return [x for x in ids if x >= 0]
 
-    def merge_all(self, words: list[bytes]) -> list[list[int]]:
-        """Exact BPE of many short words side by side: in each round, every word does its next merge."""
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact BPE of many short words side by side: in each round, every word does its next merge.
+
+        Returns all ids in order, and the number of each word's.
+        """
         n = np.array([len(w) for w in words])
         width = int(n.max())
-        ids = np.full((len(words), width), -1, np.int64)
-        ids[np.arange(width) < n[:, None]] = self.base[np.frombuffer(b"".join(words), np.uint8)]
+        ids = np.full((len(words), width + 1), -1, np.int32)
+        ids[:, :width][np.arange(width) < n[:, None]] = self.base[np.frombuffer(b"".join(words), np.uint8)]
         ids[np.arange(len(words)), n - 1] = self.last[[w[-1] for w in words]]
         none = np.iinfo(np.int32).max
 
         def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            got = self.pair_rank.get(np.where((a < 0) | (b < 0), -2, a << 32 | b))
-            return np.where(got < 0, none, got)
+            out = np.full(len(a), none, np.int32)
+            there = np.flatnonzero((a >= 0) & (b >= 0))
+            got = self.pair_rank.get(a[there].astype(np.int64) << 32 | b[there])
+            out[there] = np.where(got < 0, none, got)
+            return out
 
-        rank = np.full((len(words), width), none, np.int32)
+        rank = np.full((len(words), width + 1), none, np.int32)
         rank[:, :-1] = ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(words), -1)
-        todo, out, cols = np.arange(len(words)), [[]] * len(words), np.arange(width)
+        todo, row, cols = np.arange(len(words)), np.arange(len(words)), np.arange(width)
+        done, flat, count = [], [], []
         while len(todo):
             at = rank.argmin(axis=1)
-            row = np.arange(len(todo))
             best = rank[row, at]
-            if (ended := best == none).any():
-                for i, x in zip(todo[ended].tolist(), ids[ended].tolist()):
-                    out[i] = [t for t in x if t >= 0]
+            ended = best == none
+            if ended.any():
+                rest = ids[ended]
+                here = rest >= 0
+                done.append(todo[ended])
+                flat.append(rest[here])
+                count.append(here.sum(axis=1))
                 go = ~ended
                 todo, ids, rank, at, best = todo[go], ids[go], rank[go], at[go], best[go]
                 row = np.arange(len(todo))
-            if not len(todo):
-                break
-            shift = np.minimum(cols + (cols > at[:, None]), width - 1)
+                if not len(todo):
+                    break
+            after = cols > at[:, None]
             ids[row, at] = self.result[best]
-            ids, rank = np.take_along_axis(ids, shift, 1), np.take_along_axis(rank, shift, 1)
-            ids[:, -1], rank[:, -1] = -1, none
-            nxt = np.minimum(at + 1, width - 1)
-            rank[row, at] = np.where(nxt > at, ranks(ids[row, at], ids[row, nxt]), none)
+            ids[:, :-1] = np.where(after, ids[:, 1:], ids[:, :-1])
+            rank[:, :-1] = np.where(after, rank[:, 1:], rank[:, :-1])
+            rank[row, at] = ranks(ids[row, at], ids[row, at + 1])
             prev = np.flatnonzero(at > 0)
             rank[prev, at[prev] - 1] = ranks(ids[prev, at[prev] - 1], ids[prev, at[prev]])
-        return out
+        done, flat, count = (np.concatenate(x) for x in (done, flat, count))
+        order = np.argsort(done)
+        begin = np.cumsum(count) - count
+        n = count[order]
+        ends = np.cumsum(n)
+        return flat[np.repeat(begin[order] - ends + n, n) + np.arange(ends[-1])], n
 
     def _encode_words(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
@@ -298,18 +313,21 @@ class Codec:
         good = self.verify(tokens, begin)
         flat, cut = tokens.astype("<u4").tobytes(), (begin * 4).tolist()
         self.words.update(zip(words, [flat[i:j] for i, j in zip(cut, cut[1:])]))
-        failed = np.flatnonzero(~good).tolist()
+        failed = np.flatnonzero(~good)
         self.stats["words"] += len(words)
         self.stats["failed"] += len(failed)
-        failed.sort(key=lambda i: len(raw[i]))
+        length = np.array([len(w) for w in raw])
+        failed = failed[np.argsort(length[failed], kind="stable")].tolist()
         for k in range(0, len(failed), 4096):
             part = failed[k : k + 4096]
-            if len(raw[part[-1]]) <= 48:
-                ids = self.merge_all([raw[i] for i in part])
-            else:
-                ids = [self.merge([*self.base[np.frombuffer(raw[i][:-1], np.uint8)].tolist(), int(self.last[raw[i][-1]])]) for i in part]
-            for i, x in zip(part, ids):
-                self.words[words[i]] = np.array(x, "<u4").tobytes()
+            if length[part[-1]] <= 48:
+                ids, counts = self.merge_all([raw[i] for i in part])
+                flat, cut = ids.astype("<u4").tobytes(), [0, *(np.cumsum(counts) * 4).tolist()]
+                self.words.update(zip([words[i] for i in part], [flat[i:j] for i, j in zip(cut, cut[1:])]))
+                continue
+            for i in part:
+                ids = self.merge([*self.base[np.frombuffer(raw[i][:-1], np.uint8)].tolist(), int(self.last[raw[i][-1]])])
+                self.words[words[i]] = np.array(ids, "<u4").tobytes()
 
     # -- texts
 
@@ -318,54 +336,62 @@ class Codec:
             return text.lower()
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()  # each sign for itself, so no final sigma
+        text = text.replace("Σ", "σ").lower()  # each sign for itself, so no final sigma
+        return self.space_re.sub(" ", text)
 
-    def _chunks(self, text: str) -> list[str]:
-        text = self.normalize(text)
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes them for white space
-            return [c for c in self.space_re.split(text) if c]
-        return text.split()
-
-    def _fill(self, chunks: set[str]) -> None:
+    def _fill(self, chunks: list[str]) -> None:
         """Encode the chunks that the cache doesn't hold yet."""
         if len(self.cache) + len(chunks) > CACHE_CHUNKS:
             self.cache.clear()
         if len(self.words) > CACHE_CHUNKS // 2:
             self.words.clear()
-        new = list(chunks)
-        split = [self.ascii_re.findall(c) if c.isascii() else self.word_re.findall(c) for c in new]
+        split = []
+        for c in chunks:
+            if c.isalpha():
+                split.append((c,))
+            elif c[:-1].isalpha() and c[-1] in ".,;:!?":
+                split.append((c[:-1], c[-1]))
+            else:
+                split.append(self.ascii_re.findall(c) if c.isascii() else self.word_re.findall(c))
         known = self.words
         if words := list({w for ws in split for w in ws if w not in known}):
             self._encode_words(words)
-        for c, ws in zip(new, split):
-            self.cache[c] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        self.cache.update([(c, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])) for c, ws in zip(chunks, split)])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+        """Each text's ids as little-endian unsigned 32-bit integers.
+
+        Each distinct chunk of the batch is looked up once, and ids are gathered from there.
+        """
         cuts = [self.special_re.split(x) if self.special_re is not None and "<" in x else [x] for x in texts]
-        parts = [[x if i % 2 else self._chunks(x) for i, x in enumerate(cut)] for cut in cuts]
-        out: list[bytes] = []
-        done = 0
-        while done < len(parts):
-            found, todo, upto = [], set(), done
-            while upto < len(parts) and len(todo) < CACHE_CHUNKS // 4:  # whole texts, at least one
-                found.append([x if isinstance(x, str) else list(map(self.cache.get, x)) for x in parts[upto]])
-                for x, got in zip(parts[upto], found[-1]):
-                    if got is not x and None in got:
-                        todo.update([c for c, y in zip(x, got) if y is None])
-                upto += 1
-            self._fill(todo)
+        parts = [self.normalize(x) for cut in cuts for x in cut[::2]]
+        lists = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        got = list(map(self.cache.get, chunks))
+        if new := [c for c, x in zip(chunks, got) if x is None]:
+            self._fill(new)
             held = self.cache
-            for cut, gots in zip(parts[done:upto], found):
-                for i, got in enumerate(gots):
-                    if isinstance(got, str):
-                        gots[i] = int(self.special[got]).to_bytes(4, "little")
-                    elif None in got:
-                        gots[i] = b"".join([held[c] if y is None else y for c, y in zip(cut[i], got)])
-                    else:
-                        gots[i] = b"".join(got)
-                out.append(gots[0] if len(gots) == 1 else b"".join(gots))
-            done = upto
+            if len(held) < len(chunks) or None in (more := list(map(held.get, chunks))):  # it has started anew
+                more = [held[c] if x is None else x for c, x in zip(chunks, got)]
+            got = more
+        flat = np.frombuffer(b"".join(got), "<u4")
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) >> 2
+        begin = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[index]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(begin[index] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        at = (np.concatenate(([0], ends))[lists.offsets.to_numpy()] * 4).tolist()
+        raw = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
+        pieces = [bytes(raw[i:j]) for i, j in zip(at, at[1:])]
+        if len(pieces) == len(texts):
+            return pieces
+        out, k = [], 0
+        for cut in cuts:
+            own = [self.special[x].to_bytes(4, "little") if i % 2 else pieces[k + i // 2] for i, x in enumerate(cut)]
+            k += (len(cut) + 1) // 2
+            out.append(b"".join(own))
         return out
 
     def decode(self, ids: bytes) -> str:
