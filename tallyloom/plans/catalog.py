@@ -1,4 +1,8 @@
-"""Queries and their SQL equivalents, by name."""
+"""All queries by name, each with its SQL equivalent where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from tallyloom.plans import document_queries, queue_queries, report_queries, staging_queries
+from tallyloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "document_queries", "queue_queries", "report_queries", "staging_queries"]
