@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import finite, ratio
 
-A, L, E = F.col("TOTAL_ASSETS"), F.col("TOTAL_LIAB"), F.col("EQUITY")
+
+
+def assets() -> Column:
+    return F.col("TOTAL_ASSETS")
+
+
+def claims_on_assets() -> Column:
+    return F.col("TOTAL_LIAB") + F.col("EQUITY")
 
 
 def gap() -> Column:
-    return F.abs(A - L - E)
+    return F.abs(assets() - F.col("TOTAL_LIAB") - F.col("EQUITY"))
 
 
 def _sure(x: Column) -> Column:
@@ -23,7 +30,7 @@ def _sure(x: Column) -> Column:
 
 def library_balance() -> Column:
     """Assets differ from liabilities and equity by more than a thousandth of assets, and more than 1."""
-    return _sure(~F.isnan(A) & (F.abs(A - (L + E)) > F.greatest(F.lit(1.0), A * 0.001)))
+    return _sure(~F.isnan(assets()) & (F.abs(assets() - claims_on_assets()) > F.greatest(F.lit(1.0), assets() * 0.001)))
 
 
 def library_cash() -> Column:
@@ -31,7 +38,7 @@ def library_cash() -> Column:
 
 
 def assets_invalid() -> Column:
-    return ~finite(A) | (A <= 0)
+    return ~finite(assets()) | (assets() <= 0)
 
 
 def receivable_divergence(wide: DataFrame) -> DataFrame:
@@ -44,7 +51,7 @@ def receivable_divergence(wide: DataFrame) -> DataFrame:
 
 def manual_warnings() -> Column:
     """Warnings of a report that is entered by hand, as an array of code, severity and gap."""
-    mismatch = _sure(gap() > F.greatest(F.abs(A) * 0.005, F.lit(1.0)))
+    mismatch = _sure(gap() > F.greatest(F.abs(assets()) * 0.005, F.lit(1.0)))
     low = _sure((F.col("NET_PROFIT") > 0) & (F.col("OCF") < F.col("NET_PROFIT") * 0.5))
     made = lambda ok, code, severity, value: F.when(ok, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), value.alias("gap")))
     return F.array_compact(F.array(made(mismatch, "BALANCE_MISMATCH", "HIGH", gap()), made(low, "LOW_CASH_CONVERSION", "MEDIUM", F.lit(None).cast("double"))))
@@ -56,7 +63,7 @@ def manual_status() -> Column:
 
 def commit_blocked() -> Column:
     """The commit gate: a ten-thousandth of assets, and only if all three are there."""
-    return A.isNotNull() & L.isNotNull() & E.isNotNull() & _sure(gap() > F.greatest(F.abs(A) * 0.0001, F.lit(1.0)))
+    return assets().isNotNull() & claims_on_assets().isNotNull() & _sure(gap() > F.greatest(F.abs(assets()) * 0.0001, F.lit(1.0)))
 
 
 def cash_flow_gap(wide: DataFrame) -> DataFrame:

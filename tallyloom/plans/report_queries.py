@@ -77,7 +77,7 @@ def ratio_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(WIDE + f"""SELECT {KEYS}, abs("TOTAL_ASSETS" - ("TOTAL_LIAB" + "EQUITY")) AS gap FROM w WHERE abs("TOTAL_ASSETS" - ("TOTAL_LIAB" + "EQUITY")) > greatest(1, "TOTAL_ASSETS" * 0.001)""")
 def dq_library_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide(spark, sf_dir).where(quality.library_balance()).select(*facts.KEYS, F.abs(quality.A - (quality.L + quality.E)).alias("gap"))
+    return wide(spark, sf_dir).where(quality.library_balance()).select(*facts.KEYS, F.abs(quality.assets() - quality.claims_on_assets()).alias("gap"))
 
 
 @query(WIDE + f"""SELECT {KEYS}, "OCF" / "NET_PROFIT" AS conversion FROM w WHERE "NET_PROFIT" > 0 AND "OCF" / "NET_PROFIT" < 0.6""")
