@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, common, jaccard, langid, media, packing, pii, quality, substrings, toxicity
+from tallyloom.llm import bpe, common, jaccard, langid, media, packing, passages, pii, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_components(common.table(spark, sf_dir, "documents"))
+    return jaccard.link_components(common.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(common.table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +57,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (common.crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
+QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_passages": op7_passages, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
 
 ORACLE_SQL: dict[str, str] = {}
