@@ -91,7 +91,7 @@ def stretches(data: np.ndarray, start: np.ndarray, depth: int, gram: int) -> tup
     last = ok.copy()
     last[:-1] &= first[1:] | ~ok[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(last)
-    whole = mixed(mixed(string_hash(words, a, depth), string_hash(words, b, depth)), ((b - a) << 8 | (chosen[a] - a)).astype(np.uint64))
+    whole = mixed(mixed(string_hash(words, a, depth), string_hash(words, b, depth, 1)), ((b - a) << 8 | (chosen[a] - a)).astype(np.uint64))
     return doc[a], a - start[doc[a]], b - a, key[chosen[a]], whole
 
 

@@ -64,3 +64,17 @@ def test_empty_table_and_removal(spark, none):
     t = "é" * 120
     got = {r["doc_id"]: r["text"] for r in substrings.remove(spark.createDataFrame([(1, t, "x"), (2, t + "tail", "y"), (None, None, None)], "doc_id long, text string, tag string")).collect()}
     assert got[1] == "é" * 50 and got[2] == "tail" and got[None] is None
+
+
+def test_stretches_of_one_string_are_told_apart(spark):
+    """Texts of just over the depth that share their q-gram but not the whole string."""
+    rng = np.random.default_rng(5)
+    core = "".join(rng.choice(list("abcdefgh "), 90))
+    rows = [(i, f"{rng.integers(10**9)}-{core}-{rng.integers(10**9)}") for i in range(60)]
+    got = sorted(tuple(r) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 100)
+
+
+def test_given_documents_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert sorted(tuple(r) for r in substrings.digest(docs).collect()) == brute([tuple(r) for r in docs.collect()], 100)
