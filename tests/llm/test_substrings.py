@@ -63,7 +63,7 @@ def test_empty_table_and_removal(spark, none):
     assert substrings.digest(none).count() == 0
     t = "é" * 120
     got = {r["doc_id"]: r["text"] for r in substrings.remove(spark.createDataFrame([(1, t, "x"), (2, t + "tail", "y"), (None, None, None)], "doc_id long, text string, tag string")).collect()}
-    assert got[1] == "é" * 50 and got[2] == "tail" and got[None] is None
+    assert got[1] == "é" and got[2] == "tail" and got[None] is None
 
 
 def test_stretches_of_one_string_are_told_apart(spark):
