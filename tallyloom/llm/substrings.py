@@ -243,7 +243,7 @@ def sort_stretches(depth: int):
         # Buckets are kept apart by q-gram only through their content, which holds it.
         here, bucket = refine(text, end[owner], depth)
         order = np.lexsort((here, bucket))
-        again = np.append(False, bucket[order][1:] == bucket[order][:-1])
+        again = np.append(False, bucket[order][1:] == bucket[order][:-1])[: len(order)]
         dup = np.sort(here[order[again]])
         if len(dup):
             who = owner[dup]
