@@ -35,12 +35,14 @@ from tallyloom.llm import common
 from tallyloom.llm.bpe import Lookup
 
 #: Labelled texts that the machine is fitted on: toxic, clean, and the signs that such a text has at most.
-SAMPLE = (1_500, 2_500, 8_000)
+SAMPLE = (1_200, 2_000, 8_000)
 #: Landmarks from words that look toxic, and from others; instances of clean words in training.
 LANDMARKS, CLEAN = (80, 112), 6_000
 DECAY, ROUNDS, SLACK = 0.6, 3, 30.0
 #: Altered copies of bearing words that training sees: least share of toxic texts that hold the word, copies of each.
 ALTERED = (0.1, 12)
+#: Words scored at once.
+BLOCK = 8_000
 #: Longest word seen at once, and words whose score a Python worker keeps.
 WINDOW, CACHED = 24, 400_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—¡¿"
@@ -92,11 +94,15 @@ class Machine:
         """The machine's value of each instance."""
         if self._table is None:
             self._table = Lookup(self.keys, np.arange(len(self.keys), dtype=np.int32))
-        who, key, weight = subsequences(words)
-        at = self._table.get(key)
-        value = np.where(at >= 0, self.weights[at], 0.0) * weight
-        norm = np.sqrt(np.bincount(who, weight * weight, minlength=len(words)))
-        return np.bincount(who, value, minlength=len(words)) / np.maximum(norm, 1e-9) + self.bias
+        out = np.zeros(len(words))
+        for k in range(0, len(words), BLOCK):  # a block's occurrences are what memory holds
+            part = words[k : k + BLOCK]
+            who, key, weight = subsequences(part)
+            at = self._table.get(key)
+            hit = np.flatnonzero(at >= 0)
+            norm = np.sqrt(np.bincount(who, weight * weight, minlength=len(part)))
+            out[k : k + BLOCK] = np.bincount(who[hit], self.weights[at[hit]] * weight[hit], minlength=len(part)) / np.maximum(norm, 1e-9)
+        return out + self.bias
 
     def words(self, words: list[str]) -> list[float]:
         """Scores of words, the highest of its windows for each."""
@@ -161,10 +167,12 @@ def sampled(docs: DataFrame, labels: DataFrame, folds: int, held: int) -> tuple[
     """Texts and labels that the machine is fitted on, chosen by a hash of their ids."""
     toxic, clean, size = SAMPLE
     known = labels.where(F.col("toxic").isNotNull() & (common.crc_fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where((F.length("text") <= size) & (F.length("text") > 0)).join(known, "doc_id")
+    rows = docs.select("doc_id", "text").where((F.length("text") <= size) & (F.length("text") > 0))
     texts, marks = [], []
     for mark, n in ((1, toxic), (0, clean)):
-        got = rows.where(F.col("toxic") == mark).orderBy(F.xxhash64("doc_id"), "text").limit(n).select("text").collect()
+        # The ids to look for are at most 2 * n, so the other side is never shuffled.
+        ids = known.where(F.col("toxic") == mark).select("doc_id", F.xxhash64("doc_id").alias("order_")).orderBy("order_", "doc_id").limit(2 * n)
+        got = rows.join(F.broadcast(ids), "doc_id").orderBy("order_", "text").limit(n).select("text").collect()
         texts += [r["text"] for r in got]
         marks += [mark] * len(got)
     return texts, marks
@@ -197,8 +205,8 @@ def svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> np.nda
 def kernel(words: list[str], keys: np.ndarray, table: Lookup, marks: np.ndarray) -> np.ndarray:
     """Kernel of words with landmarks whose subsequence weights are the columns of ``marks``."""
     out = np.zeros((len(words), marks.shape[1]), np.float32)
-    for k in range(0, len(words), 2000):
-        part = words[k : k + 2000]
+    for k in range(0, len(words), 1000):
+        part = words[k : k + 1000]
         who, key, weight = subsequences(part)
         norm = np.sqrt(np.bincount(who, weight * weight, minlength=len(part)))
         at = table.get(key)
@@ -225,14 +233,17 @@ def fitted(texts: list[str], labels: list[int]) -> Machine | None:
         df[t, p] += 1
     # Which pieces of words tell toxic texts from clean ones, to begin with.
     grams: tuple[Counter, Counter] = Counter(), Counter()
-    pieces = [{w[i : i + 4] for i in range(len(w) - 3)} for w in parts]
-    for t in (0, 1):
-        for i in np.flatnonzero(df[t]).tolist():
-            for g in pieces[i]:
-                grams[t][g] += df[t, i]
+    pieces = lambda w: {w[i : i + 4] for i in range(len(w) - 3)}
+    for i in np.flatnonzero(df[1]).tolist():
+        for g in pieces(parts[i]):
+            grams[1][g] += df[1, i]
+    for i in np.flatnonzero(df[0]).tolist():
+        for g in pieces(parts[i]):
+            if g in grams[1]:
+                grams[0][g] += df[0, i]
     total = np.bincount(label, minlength=2)
     odds = {g: math.log((n + 0.5) / total[1]) - math.log((grams[0][g] + 0.5) / total[0]) for g, n in grams[1].items() if n >= 3}
-    value = np.array([max((odds.get(g, -5.0) for g in p), default=-5.0) for p in pieces])
+    value = np.array([max((odds.get(g, -5.0) for g in pieces(w)), default=-5.0) for w in parts])
     value[df[1] == 0] = -5.0
     rng = np.random.default_rng(7)
     clean = np.flatnonzero(df[0] > 0)
