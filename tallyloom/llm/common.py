@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a local one is set.
+    Only where the session names none and all runs on this machine, a local one is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-checkpoints")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
