@@ -6,7 +6,9 @@ that is only sorted to that depth. Its buckets begin as q-gram buckets and are r
 bucket identifiers of later offsets; every refinement uses the identifiers the one before has updated.
 
 The array is built in parts that fit a task. Each string holds one chosen q-gram, the least by hash of
-all q-grams in it, so equal strings choose the same one at the same offset. Strings are dealt out by this
+all q-grams in it, so equal strings choose the same one at the same offset. Q-grams that a bounded sample
+shows to be frequent come after all others, so that strings at the edge of a passage that many texts share
+are known by what surrounds it; this choice only affects how evenly strings are dealt. Strings are dealt out by this
 q-gram, the first bucket. Strings that stand next to each other and choose the same q-gram travel as one
 stretch. Of equal stretches the earliest stays and the others go at once. Where stretches with one q-gram
 differ, their bytes are fetched and refined to full depth. A q-gram with many different stretches is dealt
@@ -32,6 +34,8 @@ from tallyloom.llm import common
 DEPTH, GRAM = 100, 32
 #: Different stretches of a q-gram that one task refines; more are dealt to several.
 CROWD = 20_000
+#: Rows of the sample that shows which q-grams are frequent, and in how many of them a frequent one is.
+FREQUENT = (1_000, 20)
 #: Bytes sorted at once, more only where one q-gram's stretches need it.
 SORTED = 4 << 20
 #: Bytes of text looked at at once; positions must fit the low bits of a key.
@@ -65,7 +69,53 @@ def string_hash(words: np.ndarray, at: np.ndarray, size: int, seed: int = 0) ->
     return key * MIX[1]
 
 
-def stretches(data: np.ndarray, start: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
+def grams_of(words: np.ndarray, n: int, gram: int) -> np.ndarray:
+    """Hash of the q-gram at each of the first ``n`` positions."""
+    key = np.zeros(n, np.uint64)
+    for k in range(0, gram, 8):
+        key = mixed(key, words[k : k + n])
+    return key
+
+
+class Late:
+    """A set of q-grams that come last in the order."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = np.unique(grams)
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.grams & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def order(self, key: np.ndarray) -> np.ndarray:
+        """A number for each q-gram that sorts as the order asks, in its high bits."""
+        out = key >> np.uint64(1)
+        if len(self.grams):
+            at = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.uint16)])
+            near = np.minimum(np.searchsorted(self.grams, key[at]), len(self.grams) - 1)
+            out[at[self.grams[near] == key[at]]] |= np.uint64(1 << 63)
+        return out
+
+
+def frequent_grams(docs: DataFrame, gram: int, rows: int, least: int) -> Late:
+    """Q-grams that many texts of a sample hold, the sample being chosen by a hash of id and text.
+
+    About ``rows`` texts are looked at, so what is collected is bounded.
+    """
+    part = max(1, docs.count() // rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, most=PIECE):
+            data, at = raw_column(b.column("text"))
+            for i, j in zip(at.tolist(), at[1:].tolist()):
+                if j - i >= gram:
+                    key = np.unique(grams_of(eights(data[i:j]), j - i - gram + 1, gram))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["gram"])
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "tag"), F.lit(part)) == 0).select("text")
+    found = sample.mapInArrow(run, "gram long").groupBy("gram").count().where(F.col("count") >= least).select("gram").collect()
+    return Late(np.array([r["gram"] for r in found], np.int64).view(np.uint64))
+
+
+def stretches(data: np.ndarray, start: np.ndarray, depth: int, gram: int, late: Late) -> tuple[np.ndarray, ...]:
     """All strings of ``data`` in stretches that choose the same q-gram.
 
     ``start``: where documents begin, and the end. Returns document, first string's start within it, strings
@@ -73,10 +123,8 @@ def stretches(data: np.ndarray, start: np.ndarray, depth: int, gram: int) -> tup
     """
     words = eights(data)
     n = len(data) - gram + 1
-    key = np.zeros(n, np.uint64)
-    for k in range(0, gram, 8):
-        key = mixed(key, words[k : k + n])
-    least = (key & ~LOW) | np.arange(n, dtype=np.uint64)
+    key = grams_of(words, n, gram)
+    least = (late.order(key) & ~LOW) | np.arange(n, dtype=np.uint64)
     width, have = depth - gram + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[:-have], least[have:])
@@ -100,7 +148,7 @@ def packed(tag: np.ndarray, at: np.ndarray, span: np.ndarray) -> np.ndarray:
     return tag.astype(np.int64) << 38 | at.astype(np.int64) << 7 | span.astype(np.int64)
 
 
-def scan(depth: int, gram: int):
+def scan(depth: int, gram: int, late: Late):
     """Stretches of every text: ``gram``, ``whole``, ``doc_id``, ``place``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +164,13 @@ def scan(depth: int, gram: int):
                     continue
                 if len(group) > 1 or size[group[0]] <= PIECE:
                     text = np.concatenate([data[at[i] : at[i + 1]] for i in group.tolist()])
-                    got = stretches(text, np.append(0, np.cumsum(size[group])), depth, gram)
+                    got = stretches(text, np.append(0, np.cumsum(size[group])), depth, gram, late)
                     parts = [(group[got[0]], *got[1:])]
                 else:  # a very long text, in pieces that overlap by a string less one byte
                     i, parts = int(group[0]), []
                     for s in range(0, int(size[i]) - depth + 1, PIECE):
                         text = data[at[i] + s : min(at[i] + s + PIECE + depth - 1, at[i + 1])]
-                        got = stretches(text, np.array([0, len(text)]), depth, gram)
+                        got = stretches(text, np.array([0, len(text)]), depth, gram, late)
                         parts.append((np.full(len(got[0]), i), got[1] + s, *got[2:]))
                 for d, a, n, k, w in parts:
                     doc.append(d)
@@ -303,7 +351,8 @@ def cut_out(depth: int):
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``place``: runs of strings that also start earlier. ``docs``: doc_id, text and tag."""
-    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(scan(depth, gram), "gram long, whole long, doc_id long, place long")
+    late = frequent_grams(docs, gram, *FREQUENT)
+    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(scan(depth, gram, late), "gram long, whole long, doc_id long, place long")
     rows = rows.repartition("gram").sortWithinPartitions("gram", "whole", F.col("doc_id").asc_nulls_first(), "place")
     found = common.materialize(rows.mapInArrow(told_apart, "gram long, doc_id long, place long, open boolean"), "stretches")
 

@@ -33,6 +33,12 @@ def test_same_bytes_as_brute_force(docs, rows, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_frequent_grams_change_nothing(docs, rows, monkeypatch, least):
+    monkeypatch.setattr(substrings, "FREQUENT", (1000, least))
+    assert sorted(tuple(r) for r in substrings.digest(docs).collect()) == brute(rows, 100)
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a = "".join(rng.choice(list("abcdefgh "), 5000))
