@@ -319,6 +319,8 @@ def sort_stretches(depth: int):
         size = 0
         for b in batches:
             for r in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "place", "bytes", "salt"))):
+                if rows and r == rows[-1]:  # of a repeated row
+                    continue
                 if size >= SORTED and (rows[-1][0], rows[-1][4]) != (r[0], r[4]):
                     yield from solve(rows)
                     rows, size = [], 0
@@ -361,8 +363,7 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int =
     open_ = open_.join(crowds, "gram", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
     asked = open_.groupBy("doc_id", F.shiftright("place", 38).alias("tag")).agg(F.collect_list(F.struct("gram", "place", "salt")).alias("wanted"))
     asked = asked.withColumnsRenamed({"doc_id": "id_", "tag": "tag_"})
-    having = docs.dropDuplicates(["doc_id", "tag"]) if False else docs
-    cut = having.join(asked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("doc_id", "text", "wanted")
+    cut = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("doc_id", "text", "wanted")
     cut = cut.mapInArrow(cut_out(depth), "gram long, doc_id long, place long, bytes binary, salt int")
     cut = cut.repartition("gram", "salt").sortWithinPartitions("gram", "salt", F.col("doc_id").asc_nulls_first(), "place")
     sorted_ = common.materialize(cut.mapInArrow(sort_stretches(depth), "doc_id long, place long, lead long, check long"), "strings")

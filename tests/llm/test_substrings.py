@@ -33,6 +33,15 @@ def test_same_bytes_as_brute_force(docs, rows, crowd):
     assert got == want
 
 
+@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_a_repeated_row_with_a_near_copy_keeps_its_text(spark, crowd):
+    rng = np.random.default_rng(8)
+    a = "".join(rng.choice(list("abcdefgh "), 900))
+    rows = [(1, a), (1, a), (2, a[:300] + "x" + a[301:]), (2, a[:300] + "x" + a[301:]), (3, "tail " + a[200:700])]
+    got = sorted(tuple(r) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), crowd=crowd).collect())
+    assert got == brute(rows, 100)
+
+
 @pytest.mark.parametrize("least", [1, 2, 5])
 def test_frequent_grams_change_nothing(docs, rows, monkeypatch, least):
     monkeypatch.setattr(substrings, "FREQUENT", (1000, least))
