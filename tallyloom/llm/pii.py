@@ -31,12 +31,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,100}[0-9])[A-Za-z0-9+/_=.-]{20,200}+(?![A-Za-z0-9+/_=.-])",
+    "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{20,}+",
     "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}+){1,4}+",
     "local_phone": r"(?<![+0-9(.-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
-#: What a text must hold for a pattern to be tried.
-NEEDS = {"email": "@", "masked_email": ")", "phone": "+"}
+#: Signs of which a text must hold one for a pattern to be tried.
+NEEDS = {"email": "@", "masked_email": ")]", "phone": "+"}
 #: Words that go with a kind, for the gazetteer labeler (in the span) and the context labeler (before it).
 GAZETTEER = {
     "email": r"(?i)\.(com|org|net|edu|gov|io|info|de|fr|es|uk|example|local)$",
@@ -66,7 +66,7 @@ EM_ROUNDS, TRAIN_ROUNDS, RIDGE = 40, 25, 1.0
 def found(kind: str, text: str = "text") -> Column:
     """All matches of a kind with their places and surroundings, leftmost first, without overlap."""
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    need = f"contains({text}, '{NEEDS[kind]}')" if kind in NEEDS else f"{text} rlike '[0-9]'"
+    need = "(" + " OR ".join(f"contains({text}, '{sign}')" for sign in NEEDS[kind]) + ")" if kind in NEEDS else f"{text} rlike '[0-9]'"
     spans = f"""aggregate(
         zip_with(split({text}, '{pattern}', -1), array_append(regexp_extract_all({text}, '{pattern}', 0), ''), (a, b) -> struct(length(a) AS gap, b AS span)),
         struct(CAST(0 AS INT) AS at, CAST(array() AS ARRAY<STRUCT<start: INT, span: STRING>>) AS out),

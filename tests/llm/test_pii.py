@@ -67,6 +67,28 @@ def test_redaction(spark):
     assert out == [(1, "clean", "k"), (1, "é <EMAIL> and <PHONE>.", "k"), (1, "é <EMAIL> and <PHONE>.", "k"), (2, "", "k")]
 
 
+def test_long_secrets_and_masked_addresses_are_proposed(spark):
+    rng = random.Random(4)
+    sign = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    token = "eyJ" + "".join(rng.choice(sign) for _ in range(300)) + "." + "".join(rng.choice(sign) for _ in range(342))
+    late = "".join(rng.choice(sign[:52]) for _ in range(150)) + "4711"
+    texts = [f'token = "{token}"', f"key: {token[:201]}", f"key: {late}", "jane [at] site [dot] org", "jane (at) site (dot) org", "x" * 2_000_000, "y" * 500_000 + "1"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "spans").collect()
+    got = {(r["doc_id"], s["kind"], s["start"], s["end"]) for r in rows for s in r["spans"] if s["kind"] in ("secret", "masked_email")}
+    assert got == {(0, "secret", 9, 9 + len(token)), (1, "secret", 5, 206), (2, "secret", 5, 159), (3, "masked_email", 0, 24), (4, "masked_email", 0, 24), (6, "secret", 0, 500_001)}
+
+
+def test_long_secrets_and_masked_addresses_are_redacted(spark):
+    rng = random.Random(6)
+    sign = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
+    rows = [(i, 'token = "eyJ' + "".join(rng.choice(sign) for _ in range(200 + 9 * i)) + '" ends') for i in range(30)]
+    rows += [(100 + i, f"contact jane{chr(97 + i)} [at] site [dot] org today 1") for i in range(20)]
+    rows += [(200 + i, "page 000000000000000000000 of " + "0" * 40) for i in range(20)]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {out[i] for i in range(30)} == {'token = "<SECRET>" ends'}
+    assert {out[100 + i] for i in range(20)} == {"contact <MASKED_EMAIL> today 1"}
+
+
 def test_no_python_on_the_path(docs):
     plan = pii.digest(docs.drop("n_chars"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
