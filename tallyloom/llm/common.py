@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table to the shared folder and read it again.
 
-    This cuts the lineage: a lost executor never makes the stages before it run again.
+    This cuts the lineage: a lost executor never makes the stages before it run again. Tables that a result
+    is still read from stay until whoever owns the folder clears ``tallyloom`` in it; others go by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
@@ -47,6 +50,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables written by ``materialize`` that nothing will read any more."""
+    for df in tables:
+        files = df.inputFiles() if df is not None else []
+        if not files:
+            continue
+        spark = df.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if folder.getParent().getName() == "tallyloom":
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as it takes to differ from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving free memory back to the system at the end: Python workers outlive a stage."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a Python worker's memory stays bounded on long texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
