@@ -7,10 +7,13 @@ trained on these likelihoods, and its verdict decides which spans are added. Spa
 rules for email, ip, card and phone always stay.
 
 Both models only need counts of spans by their votes and features, which have a fixed number of values
-whatever the corpus's size; these counts are all that reaches the driver. Positions are code points.
+whatever the corpus's size; these counts are all that reaches the driver. Positions are code points. A text
+takes time in proportion to its length and, but for a logarithm, to its spans.
 
-Null and empty texts have no spans. Rows with equal ids are judged each for itself. Without any span in
-the table, nothing is trained and nothing added.
+Null and empty texts have no spans. Rows with equal ids or equal rows are judged each for itself. Spans of
+different kinds may tie in start; they are listed by kind. Without any span in the table, or with an empty
+table, nothing is trained and nothing added. ``redact`` keeps other columns, whatever their names, and gives
+rows alike in id and text the same text.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import common
@@ -32,7 +35,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{20,}+",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
     "local_phone": r"(?<![+0-9(.-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
 #: Signs of which a text must hold one for a pattern to be tried.
@@ -63,17 +66,22 @@ LABELERS = ("form", "check", "gazetteer", "context", "filler")
 EM_ROUNDS, TRAIN_ROUNDS, RIDGE = 40, 25, 1.0
 
 
+def running(values: str, join: str) -> str:
+    """An array's running sums or the like, by steps of doubling width. ``join``: what two numbers ``v`` and ``w`` make."""
+    return f"""aggregate(sequence(0, greatest(CAST(ceil(log2(greatest(size({values}), 1))) AS INT) - 1, 0)), {values},
+        (acc, k) -> transform(acc, (v, i) -> IF(i >= shiftleft(1, k), {join.format(v="v", w="acc[i - shiftleft(1, k)]")}, v)))"""
+
+
 def found(kind: str, text: str = "text") -> Column:
-    """All matches of a kind with their places and surroundings, leftmost first, without overlap."""
+    """All matches of a kind with their places, leftmost first, without overlap, and up to 40 signs before each,
+    as far as the match before that."""
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
     need = "(" + " OR ".join(f"contains({text}, '{sign}')" for sign in NEEDS[kind]) + ")" if kind in NEEDS else f"{text} rlike '[0-9]'"
-    spans = f"""aggregate(
-        zip_with(split({text}, '{pattern}', -1), array_append(regexp_extract_all({text}, '{pattern}', 0), ''), (a, b) -> struct(length(a) AS gap, b AS span)),
-        struct(CAST(0 AS INT) AS at, CAST(array() AS ARRAY<STRUCT<start: INT, span: STRING>>) AS out),
-        (acc, x) -> struct(acc.at + x.gap + length(x.span) AS at, IF(x.span = '', acc.out, array_append(acc.out, struct(acc.at + x.gap AS start, x.span AS span))) AS out),
-        acc -> acc.out)"""
-    shaped = f"""transform({spans}, m -> struct('{kind}' AS kind, m.start AS start, m.start + length(m.span) AS end, m.span AS span,
-        substring({text}, greatest(m.start - 39, 1), least(40, m.start)) AS before))"""
+    lengths = "transform(x.spans, (s, i) -> length(x.gaps[i]) + length(s))"
+    shaped = f"""transform(array(struct(split({text}, '{pattern}', -1) AS gaps, regexp_extract_all({text}, '{pattern}', 0) AS spans)), x ->
+        transform(array({lengths}), sizes -> transform(array({running("sizes", "{v} + {w}")}), ends ->
+            transform(x.spans, (s, i) -> struct('{kind}' AS kind, ends[i] - length(s) AS start, ends[i] AS end, s AS span,
+                right(concat(IF(i > 0, x.spans[i - 1], ''), x.gaps[i]), 40) AS before)))[0])[0])[0]"""
     return F.expr(f"IF({need}, {shaped}, array())")
 
 
@@ -212,12 +220,11 @@ def probability(weights: list[float]) -> Column:
 
 def label(docs: DataFrame) -> DataFrame:
     """For every document its kept spans, ``spans``, in order of kind and start, as structs of kind, start,
-    end and ``base`` (whether a fixed rule found it)."""
-    rows = common.materialize(candidates(docs), "spans")
-    each = voted(rows.where(F.size("spans") > 0).select("row_", F.explode("spans").alias("x")).select("row_", "x.*"))
-    each = common.materialize(each.drop("before"), "votes")
-    counts = each.groupBy(*FEATURES).count().collect()  # a fixed number of combinations
-    kept = each.where(F.col("kind").isin(*BASE) & F.col("passes")).withColumns({"base": F.lit(True), "score": F.lit(1.0)})
+    end and ``base`` (whether a fixed rule found it). What is written for it holds votes, but no text."""
+    rows = candidates(docs).select("doc_id", "text_hash", "row_", F.explode_outer("spans").alias("x"))
+    each = common.materialize(voted(rows.select("doc_id", "text_hash", "row_", "x.*")).drop("before", "span"), "votes")
+    counts = each.where(F.col("kind").isNotNull()).groupBy(*FEATURES).count().collect()  # a fixed number of combinations
+    base, score = F.col("kind").isin(*BASE) & F.col("passes"), F.lit(0.0)
     if counts:
         votes: dict[tuple[int, ...], float] = {}
         for r in counts:
@@ -226,13 +233,17 @@ def label(docs: DataFrame) -> DataFrame:
         share, rates = reliabilities(sorted(votes.items()))
         total = sum(votes.values())
         weights = trained([(tuple(r[k] for k in FEATURES), likelihood(tuple(r[k] for k in LABELERS), share, rates), 1000.0 * r["count"] / total) for r in sorted(counts, key=lambda r: tuple(map(str, r)))])
-        more = each.where(~F.col("kind").isin(*BASE) & F.col("passes")).withColumns({"base": F.lit(False), "score": probability(weights)}).where("score >= 0.5")
-        kept = kept.unionByName(more)
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    listed = kept.groupBy("row_").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind", "base", "score"))).alias("kept"))
+        score = probability(weights)
+    each = each.withColumns({"base": F.coalesce(base, F.lit(False)), "score": F.when(base, 1.0).when(~F.col("kind").isin(*BASE) & F.col("passes"), score).otherwise(0.0)})
     # An added span that touches one found by a fixed rule says nothing new.
-    clear = F.expr("filter(kept, s -> s.base OR NOT exists(kept, b -> b.base AND b.start < s.end AND s.start < b.end))")
-    return rows.drop("spans").join(listed.select("row_", clear.alias("spans")), "row_", "left").select("doc_id", "text_hash", F.coalesce("spans", F.expr("CAST(array() AS ARRAY<STRUCT<order: BIGINT, start: INT, end: INT, kind: STRING, base: BOOLEAN, score: DOUBLE>>)")).alias("spans"))
+    text = Window.partitionBy("row_")
+    before = F.max(F.when(F.col("base"), F.col("end"))).over(text.orderBy("start"))
+    after = F.min(F.when(F.col("base"), F.col("start"))).over(text.orderBy(F.desc("start")))
+    each = each.withColumns({"left_": before, "right_": after})
+    keep = F.col("base") | ((F.col("score") >= 0.5) & F.coalesce(F.col("left_") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("right_") >= F.col("end"), F.lit(True)))
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    listed = F.array_sort(F.collect_list(F.when(keep, F.struct(order.alias("order"), "start", "end", "kind", "base", "score"))))
+    return each.groupBy("row_", "doc_id", "text_hash").agg(listed.alias("spans")).drop("row_")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -244,17 +255,32 @@ def digest(docs: DataFrame) -> DataFrame:
     return label(docs).select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+#: Signs of a block that a text is cut into, so that a stretch is found without counting from the text's start.
+CUT = 1024
+
+
+def between(start: str, stop: str) -> str:
+    """The text between two places, from its ``blocks``."""
+    return f"IF({stop} <= {start}, '', substring(array_join(slice(blocks, {start} div {CUT} + 1, ({stop} - 1) div {CUT} - {start} div {CUT} + 1), ''), {start} % {CUT} + 1, {stop} - {start}))"
+
+
+def masked(text: str, spans: str) -> str:
+    """A text with its spans replaced; where they overlap, by the kind of the first."""
+    last = "IF(i = 0, 0, reach[i - 1])"
+    return f"""transform(array(array_sort(transform({spans}, s -> struct(s.start, s.end, s.kind)))), sorted ->
+        transform(array(transform(sorted, s -> s.end)), ends -> transform(array({running("ends", "greatest({v}, {w})")}), reach ->
+            transform(array(regexp_extract_all({text}, '(?s).{{1,{CUT}}}', 0)), blocks -> concat(
+                array_join(transform(sorted, (s, i) -> IF(s.start >= {last}, concat({between(last, "s.start")}, '<', upper(s.kind), '>'), '')), ''),
+                {between("reach[size(reach) - 1]", f"length({text})")}))[0])[0])[0])[0]"""
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every kept span of ``text`` replaced by its kind in angle brackets.
 
     Overlapping spans are replaced as one, named after the first.
     """
+    id_, hash_, spans_ = common.fresh(docs, "id_", "hash_", "spans_")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = label(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), F.col("spans").alias("spans_")).dropDuplicates(["id_", "hash_"])
-    masked = """aggregate(array_sort(transform(spans_, s -> struct(s.start, s.end, s.kind))),
-        struct(CAST(0 AS INT) AS at, CAST(array() AS ARRAY<STRING>) AS out),
-        (acc, s) -> IF(s.start < acc.at, struct(greatest(acc.at, s.end) AS at, acc.out AS out),
-            struct(s.end AS at, array_append(acc.out, concat(substring(text, acc.at + 1, s.start - acc.at), '<', upper(s.kind), '>')) AS out)),
-        acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"""
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64(text) == F.col("hash_")), "left")
-    return rows.withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(F.expr(masked))).drop("id_", "hash_", "spans_").select(*docs.columns)
+    spans = label(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans_)).dropDuplicates([id_, hash_])
+    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
+    return rows.withColumn("text", F.when(F.col(spans_).isNull(), F.col("text")).otherwise(F.expr(masked("text", f"`{spans_}`")))).select(*docs.columns)

@@ -89,6 +89,39 @@ def test_long_secrets_and_masked_addresses_are_redacted(spark):
     assert {out[100 + i] for i in range(20)} == {"contact <MASKED_EMAIL> today 1"}
 
 
+def test_redaction_as_by_hand(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a@b.cd", "é😀 ", "+1 (743) 555-3824", "10.1.2.3", "word ", "\n", "4111111111111111 ", "." * rng.randint(1, 1500)]) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in r["spans"]) for r in pii.label(docs).collect()}
+    for r in pii.redact(docs).collect():
+        out, at = "", 0
+        for a, b, k in spans[r["doc_id"]]:
+            if a >= at:
+                out += texts[r["doc_id"]][at:a] + f"<{k.upper()}>"
+            at = max(at, b)
+        assert r["text"] == out + texts[r["doc_id"]][at:]
+
+
+def test_time_in_proportion_to_a_texts_spans(spark):
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        docs = spark.createDataFrame([(1, "a1@b.c 1 " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert pii.redact(docs).first()["text"] == "<EMAIL> 1 " * n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 2
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, "to a@b.cd", 1, 2, [1], "x"), (1, "to a@b.cd", 1, 2, [1], "x"), (None, None, None, None, None, None)]
+    out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string, id_ long, hash_ long, spans_ array<int>, kind string"))
+    assert out.columns == ["doc_id", "text", "id_", "hash_", "spans_", "kind"]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(["(1, 'to <EMAIL>', 1, 2, [1], 'x')"] * 2 + ["(None, None, None, None, None, None)"])
+
+
 def test_no_python_on_the_path(docs):
     plan = pii.digest(docs.drop("n_chars"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
