@@ -4,8 +4,10 @@
 the byte ranges of keyframes; payload bytes are never decoded. ``mux`` writes bytes as 8-bit samples
 of an audio track, ``payload`` reads a track's samples back.
 
-A null or damaged file gives nulls and a reason in ``error``; an empty text is stored as one frame of
-spaces; rows with equal bytes get equal results; all other columns of the table are kept.
+A null or damaged file, or one whose samples are in fragments, gives nulls and a reason in ``error``, whatever
+counts it claims; an empty text is stored as one frame of spaces; rows with equal bytes get equal results; a
+very long one has as many samples as it takes. All other columns of the table are kept, but one named as the
+new one, which is replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,6 +126,8 @@ def tracks(blob: memoryview) -> list[dict[str, Any]]:
     """For each track: handler, codec, timescale, duration, and offsets, sizes and keyframes of its samples."""
     found: list[dict[bytes, tuple[int, int]]] = []
     for kind, a, b in boxes(blob, 0, len(blob)):
+        if kind == b"moof":
+            raise ValueError("samples in movie fragments aren't decoded")
         if kind == b"moov":
             for inner, c, d in boxes(blob, a, b):
                 if inner == b"trak":
@@ -136,13 +140,18 @@ def tracks(blob: memoryview) -> list[dict[str, Any]]:
         timescale, duration = struct.unpack_from(">IQ", blob, at + 20) if blob[at] == 1 else struct.unpack_from(">II", blob, at + 12)
         at, stop = t[b"stsz"]
         same, n = struct.unpack_from(">II", blob, at + 4)
+        if same and n * same > len(blob):
+            raise ValueError("a sample lies beyond the file")
         sizes = np.full(n, same, np.int64) if same else numbers(blob, at + 12, n, ">u4", stop)
         at, stop = t.get(b"stco") or t[b"co64"]
         chunk_at = numbers(blob, at + 8, struct.unpack_from(">I", blob, at + 4)[0], ">u4" if b"stco" in t else ">u8", stop)
         at, stop = t[b"stsc"]
         runs = numbers(blob, at + 8, 3 * struct.unpack_from(">I", blob, at + 4)[0], ">u4", stop).reshape(-1, 3)
-        each = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunk_at) + 1))) if len(runs) else np.zeros(0, np.int64)
-        if each.sum() != n or len(each) != len(chunk_at):
+        times = np.diff(np.append(runs[:, 0], len(chunk_at) + 1))
+        if (times < 0).any() or times.sum() != len(chunk_at):
+            raise ValueError("the tables disagree on the number of chunks")
+        each = np.repeat(runs[:, 1], times)
+        if each.sum() != n:
             raise ValueError("the tables disagree on the number of samples")
         chunk = np.repeat(np.arange(len(each)), each)
         before = np.cumsum(sizes) - sizes
@@ -181,7 +190,7 @@ KINDS = "struct<codec:string,handler:string,timescale:long,duration:long,seconds
 
 
 def probe(blob: bytes | None) -> dict[str, Any]:
-    """What is known of a file's first track."""
+    """What is known of a file's first video track, or of its first track if it has none."""
     out: dict[str, Any] = dict.fromkeys(("codec", "handler", "timescale", "duration", "seconds", "n_samples", "keyframes", "error"))
     try:
         if blob is None:
@@ -190,7 +199,7 @@ def probe(blob: bytes | None) -> dict[str, Any]:
             raise ValueError("no track")
     except (ValueError, struct.error, IndexError) as e:
         return out | {"error": str(e)}
-    t = found[0]
+    t = next((t for t in found if t["handler"] == "vide"), found[0])
     keys = zip(t["offsets"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist())
     return out | {k: t[k] for k in ("codec", "handler", "timescale", "duration")} | {
         "seconds": t["duration"] / t["timescale"] if t["timescale"] else None, "n_samples": len(t["sizes"]), "keyframes": [{"offset": a, "length": b} for a, b in keys],

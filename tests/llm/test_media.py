@@ -68,3 +68,20 @@ def test_variable_sizes_and_wide_offsets():
 
 def test_empty_table(none):
     assert media.features(none).count() == 0
+
+
+def test_claims_beyond_the_file_and_fragments_are_reported():
+    blob = media.mux(b"x" * 1920)
+    at = blob.index(b"stsz") + 8
+    huge = blob[:at] + struct.pack(">II", 8, 4_000_000_000) + blob[at + 8 :]
+    assert "beyond" in media.probe(huge)["error"]
+    at = blob.index(b"stsc") + 12
+    odd = blob[:at] + struct.pack(">I", 4_000_000_000) + blob[at + 4 :]
+    assert media.probe(odd)["error"]
+    assert "fragments" in media.probe(blob + media.box(b"moof", media.box(b"traf")))["error"]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, media.mux(b"x" * 192), "old", "kept")], "i int, content binary, media string, codec string")
+    (row,) = media.media_columns(df).collect()
+    assert row["media"]["codec"] == "raw " and row["codec"] == "kept"
