@@ -15,7 +15,9 @@ each of their subsequences; a word is scored in one pass, whatever the number of
 
 The machine is fitted on a bounded sample (``SAMPLE``) of labelled rows. Null and empty texts have no words
 and get the score of a text whose words are all as clean as can be. If labels are of one kind, or there are
-none, all scores are 0.
+none, all scores are 0. Very long texts are scored whole, in blocks of words. Rows with equal ids, or equal
+rows, are scored each for itself, and words of equal score tie without effect. An empty table gives an empty
+result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -226,9 +228,13 @@ def fitted(texts: list[str], labels: list[int]) -> Machine | None:
         return None
     words, index, offsets = cut(texts)
     label = np.array(labels)
-    parts = [windows(w)[0] for w in words]
+    cuts = [windows(w) for w in words]
+    first = np.cumsum([0, *map(len, cuts)])
+    parts = [x for p in cuts for x in p]
     places = [np.unique(index[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-    df = np.zeros((2, len(words)))
+    if len(parts) > len(words):  # a long word stands for all of its windows
+        places = [np.concatenate([np.arange(first[i], first[i + 1]) for i in p.tolist()]) if len(p) else p for p in places]
+    df = np.zeros((2, len(parts)))
     for t, p in zip(label, places):
         df[t, p] += 1
     # Which pieces of words tell toxic texts from clean ones, to begin with.
