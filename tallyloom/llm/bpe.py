@@ -420,8 +420,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text.
-    """
+    """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text."""
     path = tokenizer or default_tokenizer()
     common.small_batches(docs.sparkSession)
 
@@ -464,4 +463,4 @@ def pieces(docs: DataFrame, most: int = 4096, end: int = 1, tokenizer: str | Non
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return common.with_text(docs).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return common.with_text(docs).mapInArrow(common.lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")

@@ -6,8 +6,10 @@ in total is chosen. Blocks are compressed each for itself, so that a long text c
 dictionaries by its own repetitions. Only words count: case is folded and all other signs become a
 space. Where the smallest and the next smallest total are close, the text is rejected.
 
-A null text, or one without a letter, is ``und`` with score 0, and rejected. Equal sizes, as very short
-texts may have, go to the language with more labelled rows. With no labelled text, all are ``und``.
+A null text, an empty one, or one without a letter, is ``und`` with score 0, and rejected. Equal sizes, as very short
+texts may have, go to the language with more labelled rows. With no labelled text, all are ``und``. Very long
+texts are compressed whole, block by block; repeated rows are judged each for itself, and an empty table gives
+an empty result. Other columns are kept but for ``lang_pred``, ``score`` and ``rejected``, which are set.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tallyloom.llm import common
 
 #: Labelled rows of each language that dictionaries are made from, at most, and bytes of a dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 400, 48 << 10
-#: Bytes taken from one sample text, so that many texts speak for a language.
-SAMPLE_BYTES = 512
+#: Signs taken from the front of one sample text, so that many texts speak for a language; bytes of a dictionary, at least.
+SAMPLE_SIGNS, LEAST_BYTES = 512, 8
 LEVEL, BLOCK = 9, 1024
 #: Least relative margin between the best and the second best total.
 MARGIN = 0.005
@@ -46,11 +48,12 @@ def dictionaries(labelled: DataFrame, folds: int = 4, held: int = 2) -> Spec:
     """Languages and their dictionaries, those with more labelled rows first.
 
     They are made from rows with a ``lang`` outside the held-out fold, chosen by a hash of their text:
-    at most ``SAMPLE_ROWS`` rows and ``DICTIONARY_BYTES`` bytes for a language.
+    at most ``SAMPLE_ROWS`` rows, ``SAMPLE_SIGNS`` signs of each and ``DICTIONARY_BYTES`` bytes for a language.
+    A dictionary shorter than the format allows is filled up with spaces.
     """
     rows = (
         labelled.where((common.crc_fold("doc_id", folds) != held) & F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", F.expr(f"substring(text, 1, {SAMPLE_BYTES})").alias("text"), F.xxhash64("text").alias("h"))
+        .select("lang", F.expr(f"substring(text, 1, {SAMPLE_SIGNS})").alias("text"), F.xxhash64("text").alias("h"))
         .groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot"))
         .agg(F.min_by("text", F.struct("h", "text")).alias("text"), F.count(F.lit(1)).alias("n"))
         .collect()
@@ -60,7 +63,7 @@ def dictionaries(labelled: DataFrame, folds: int = 4, held: int = 2) -> Spec:
     for r in sorted(rows, key=lambda r: (r["lang"], r["slot"])):
         data[r["lang"]] = data.get(r["lang"], b"") + words(r["text"])
         seen[r["lang"]] = seen.get(r["lang"], 0) + r["n"]
-    return tuple((k, data[k][-DICTIONARY_BYTES:]) for k in sorted(data, key=lambda k: (-seen[k], k)) if len(data[k]) >= 8)
+    return tuple((k, data[k][-DICTIONARY_BYTES:].rjust(LEAST_BYTES)) for k in sorted(data, key=lambda k: (-seen[k], k)))
 
 
 @lru_cache(maxsize=2)
@@ -108,4 +111,4 @@ def classify(docs: DataFrame, spec: Spec, margin: float = MARGIN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score), pa.array(rejected)], [*columns, "lang_pred", "score", "rejected"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(common.lean(run), f"{kinds}, lang_pred string, score double, rejected boolean")

@@ -10,7 +10,9 @@ the counts allow. Pieces then find their places by their rank among those of the
 are taken within hash buckets, with each bucket's offset added, so that no length is ranked in one task.
 
 Null and empty texts have one piece, of the end id alone. An empty table gives an empty plan. Rows
-with equal ids are packed each for itself.
+with equal ids, or equal in all columns, are packed each for itself; pieces of one length tie, and take places
+by their other columns, nulls first. A very long text is cut into pieces before. ``pack`` keeps other columns,
+whatever their names, but for ``sequence_id`` and ``offset``, which it sets.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, common
 
-#: Hash buckets in which pieces of one length are ranked: at least, at most.
-BUCKETS = (32, 512)
+#: Hash buckets in which pieces of one length are ranked: at least, at most, and pieces of one length in each to aim at.
+BUCKETS = (32, 8192, 500_000)
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -106,27 +108,35 @@ def layout(fillings: list[tuple[int, list[int]]], most: int) -> dict[str, np.nda
 def pack(pieces: DataFrame, most: int = 4096) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``most``.
 
-    ``pieces`` should be a written table: it is read twice.
+    ``pieces`` should be a written table: it is read three times.
     """
-    spark = pieces.sparkSession
-    buckets = min(max(BUCKETS[0], int(spark.conf.get("spark.sql.shuffle.partitions"))), BUCKETS[1])
+    pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
-    rows = pieces.withColumn("bucket_", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
-    counts = np.zeros((most + 1, buckets), np.int64)
-    for x in rows.groupBy("length", "bucket_").count().toLocalIterator():  # at most `most` x buckets rows
-        counts[x["length"], x["bucket_"]] = x["count"]
-    before = np.cumsum(counts, axis=1) - counts
-    places = layout(plan(counts.sum(axis=1)), most)
+    bucket_, rank_ = common.fresh(pieces, "bucket_", "rank_")
+    total = np.zeros(most + 1, np.int64)
+    for x in pieces.groupBy("length").count().collect():  # at most `most` rows
+        total[x["length"]] = x["count"]
+    # Each length has buckets by its own number of pieces, so most lengths have few.
+    buckets = np.clip(-(-total // BUCKETS[2]), np.where(total > 1000, BUCKETS[0], 1), BUCKETS[1])
+    each = F.element_at(F.lit(buckets.tolist()), F.col("length").cast("int") + 1)
+    rows = pieces.withColumn(bucket_, F.pmod(F.xxhash64(*columns), each).cast("int"))
+    first = np.cumsum(buckets) - buckets
+    counts = np.zeros(int(buckets.sum()), np.int64)
+    for x in rows.groupBy("length", bucket_).count().toLocalIterator():  # as many rows as there are buckets at most
+        counts[first[x["length"]] + x[bucket_]] = x["count"]
+    before = np.cumsum(counts) - counts
+    before -= np.repeat(before[first], buckets)
+    places = layout(plan(total), most)
     key = places["length"] << 44 | places["rank"]
 
-    ranked = rows.withColumn("rank_", F.row_number().over(Window.partitionBy("length", "bucket_").orderBy(*columns)))
-    spec = before, places, key
+    ranked = rows.withColumn(rank_, F.row_number().over(Window.partitionBy("length", bucket_).orderBy(*columns)))
+    spec = before, first, places, key
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, places, key = spec
+        before, first, places, key = spec
         for b in batches:
-            length, bucket, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "bucket_", "rank_"))
-            rank = before[length, bucket] + rank - 1
+            length, bucket, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", bucket_, rank_))
+            rank = before[first[length] + bucket] + rank - 1
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(places["sequence"][at] + rank - places["rank"][at]), pa.array(places["offset"][at])], [*columns, "sequence_id", "offset"])
 

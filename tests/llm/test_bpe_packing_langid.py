@@ -129,3 +129,35 @@ def test_one_kind_of_label_scores_nothing(spark):
     docs = spark.createDataFrame([(i, "some text") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()} == {0.0}
+
+
+def test_packing_with_clashing_names_ties_and_nulls(spark):
+    rows = [(i % 3 or None, 1 + i % 4, None if i % 2 else i, "r", 5) for i in range(200)] + [(1, 4, 1, "r", 5)] * 3
+    got = packing.pack(spark.createDataFrame(rows, "id long, length long, bucket_ long, rank_ string, sequence_id long"), most=4)
+    assert got.columns == ["id", "length", "bucket_", "rank_", "sequence_id", "offset"]
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, by.values())) == len(rows)
+    for places in by.values():
+        end = 0
+        for a, n in sorted(places):
+            assert a == end
+            end = a + n
+        assert end <= 4
+
+
+def test_a_length_with_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKETS", (4, 8, 10))
+    got = packing.pack(spark.range(3000).selectExpr("id", "1 + id % 2 AS length"), most=4).collect()
+    cells = [(r["sequence_id"], r["offset"] + k) for r in got for k in range(r["length"])]
+    assert len(got) == 3000 and len(cells) == len(set(cells)) and max(c[1] for c in cells) < 4
+
+
+def test_langid_and_bpe_with_clashing_names_and_odd_rows(spark):
+    rows = [(1, "the cat and the dog", "en", "x"), (2, "le chat et le chien", "fr", "y"), (2, "le chat et le chien", "fr", "y"), (3, None, None, None), (4, "", "xx", "z"), (5, "a" * 300_000, "en", "z"), (6, "i", "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = langid.classify(docs, langid.dictionaries(docs))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and got.count() == 7
+    assert {r["lang_pred"] for r in got.where("text IS NULL OR text = ''").collect()} == {"und"}
+    assert bpe.encode(docs.withColumn("ids", docs["lang"])).count() == 7
