@@ -15,6 +15,8 @@ from tallyloom.sources.schemas import JOB_MOVES
 # The lease policy, in seconds.
 LEASE, HEARTBEAT, GRACE, ATTEMPTS, BACKOFF = 120, 30, 30, 3, (30, 120, 600)
 HELD = ("CLAIMED", "RUNNING")
+# Signs that a job's and an event's message have at most, and what is said of a job without attempts left.
+MESSAGE, EVENT_MESSAGE, EXHAUSTED = 2000, 500, "Maximum job attempts exhausted"
 
 
 def after(now: Column, seconds: int | Column) -> Column:
@@ -38,7 +40,7 @@ def exhausted(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs that fail because no attempt is left, rewritten, with their former status."""
     out = jobs.where((F.col("attempt_count") >= F.col("max_attempts")) & ((F.col("status") == "RETRY_WAIT") | lapsed(now)))
     return out.withColumn("from_status", F.col("status")).withColumns({
-        "status": F.lit("FAILED"), "completed_at": now, "error_code": F.lit("MAX_ATTEMPTS_EXHAUSTED"), "error_message": F.coalesce("error_message", F.lit("Maximum job attempts exhausted.")),
+        "status": F.lit("FAILED"), "completed_at": now, "error_code": F.lit("MAX_ATTEMPTS_EXHAUSTED"), "error_message": F.coalesce("error_message", F.lit(EXHAUSTED + ".")),
         **{c: F.lit(None).cast(jobs.schema[c].dataType) for c in ("claimed_by", "claim_token", "lease_expires_at")},
     })
 
@@ -96,27 +98,84 @@ def finish(claims: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """
     open_ = F.col("result") == "NEEDS_INPUT"
     none = lambda c: F.lit(None).cast(jobs.schema[c].dataType)
-    return fenced(claims, jobs, now).withColumns({
+    return fenced(given(claims), jobs, now).withColumns({
+        "error_code": F.col("given_code"), "error_message": F.left("given_message", F.lit(MESSAGE)),
         "from_status": F.lit("RUNNING"), "status": F.col("result"), "completed_at": F.when(~open_, now), "attempt_status": F.when(open_, "SUCCEEDED").otherwise(F.col("result")),
         "claimed_by": none("claimed_by"), "claim_token": none("claim_token"), "lease_expires_at": none("lease_expires_at"),
     }).drop("result")
 
 
+def given(claims: DataFrame) -> DataFrame:
+    """Claims with ``given_code`` and ``given_message``, what the worker says of an error, null where it says nothing."""
+    return claims.withColumns({c: F.lit(None).cast("string") for c in ("given_code", "given_message") if c not in claims.columns})
+
+
 def retry(claims: DataFrame, jobs: DataFrame, now: Column, delay: int | Column = BACKOFF[0]) -> DataFrame:
-    """Claims that failed for now: wait for ``delay`` seconds, or fail if no attempt is left."""
+    """Claims that failed for now: wait for ``delay`` seconds, or fail if no attempt is left.
+
+    The error is the worker's, ``given_code`` and ``given_message``; the job's former one goes.
+    """
     over = F.col("attempt_count") >= F.col("max_attempts")
     none = lambda c: F.lit(None).cast(jobs.schema[c].dataType)
-    return fenced(claims, jobs, now).withColumns({
+    said = F.left("given_message", F.lit(MESSAGE))
+    return fenced(given(claims), jobs, now).withColumns({
         "from_status": F.lit("RUNNING"), "status": F.when(over, "FAILED").otherwise("RETRY_WAIT"), "completed_at": F.when(over, now), "available_at": F.when(over, F.col("available_at")).otherwise(after(now, delay)),
-        "error_code": F.when(over, "MAX_ATTEMPTS_EXHAUSTED").otherwise(F.col("error_code")), "claimed_by": none("claimed_by"), "claim_token": none("claim_token"), "lease_expires_at": none("lease_expires_at"),
+        "error_code": F.when(over, "MAX_ATTEMPTS_EXHAUSTED").otherwise(F.col("given_code")), "error_message": F.when(over, F.coalesce(said, F.lit(EXHAUSTED + "."))).otherwise(said),
+        "claimed_by": none("claimed_by"), "claim_token": none("claim_token"), "lease_expires_at": none("lease_expires_at"),
     })
 
 
-def expired_attempts(attempts: DataFrame, jobs: DataFrame, now: Column, message: str | None = None) -> DataFrame:
-    """Attempts still open of jobs whose lease was taken away, closed."""
-    started = F.col("started_at")
+def event(rows: DataFrame, kind: Column, source: Column, target: Column, stage: Column, message: Column) -> DataFrame:
+    """Rows of the log of jobs."""
+    cut = F.left(message, F.lit(EVENT_MESSAGE))
+    return rows.select("job_id", kind.alias("event_type"), source.alias("from_status"), target.alias("to_status"), stage.alias("stage"), cut.alias("message"))
+
+
+def exhausted_events(failed: DataFrame) -> DataFrame:
+    """For what ``exhausted`` gives."""
+    return event(failed, F.col("error_code"), F.col("from_status"), F.col("status"), F.lit("FINALIZE"), F.lit(EXHAUSTED))
+
+
+def claim_events(claimed: DataFrame) -> DataFrame:
+    """For what ``claim`` gives."""
+    return event(claimed, F.lit("CLAIMED"), F.col("from_status"), F.col("status"), F.lit("CLAIM"), F.lit("Worker claimed job"))
+
+
+def finish_events(finished: DataFrame) -> DataFrame:
+    """For what ``finish`` gives, from claims with what ``given`` adds."""
+    said = F.coalesce("given_message", F.concat(F.lit("Job finished as "), "status"))
+    return event(finished, F.col("status"), F.lit("RUNNING"), F.col("status"), F.lit("FINALIZE"), said)
+
+
+def retry_events(retried: DataFrame) -> DataFrame:
+    """For what ``retry`` gives."""
+    over = F.col("status") == "FAILED"
+    said = F.coalesce("given_message", F.when(over, EXHAUSTED).otherwise("Retry scheduled"))
+    return event(retried, F.when(over, F.col("error_code")).otherwise("RETRY_SCHEDULED"), F.lit("RUNNING"), F.col("status"), F.when(over, "FINALIZE").otherwise("RETRY"), said)
+
+
+def claim_attempts(claimed: DataFrame, now: Column) -> DataFrame:
+    """New attempts for what ``claim`` gives."""
+    none = F.lit(None).cast("string")
+    return claimed.select("job_id", F.col("attempt_count").alias("attempt_number"), F.col("claimed_by").alias("worker_id"), "claim_token", F.lit("CLAIMED").alias("status"), now.alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit(None).cast("long").alias("duration_ms"), none.alias("error_code"), none.alias("error_message"))
+
+
+def closed_attempts(attempts: DataFrame, claims: DataFrame, done: DataFrame, now: Column, status: Column) -> DataFrame:
+    """Attempts of jobs that ``finish`` or ``retry`` has let go, closed. ``claims``: as their workers know them."""
+    held = claims.select("job_id", "claim_token")
+    ended = done.select("job_id", F.col("attempt_count").alias("attempt_number"), status.alias("status_"), F.col("error_code").alias("code_"), F.col("error_message").alias("message_"))
+    got = attempts.join(held, ["job_id", "claim_token"], "left_semi").join(ended, ["job_id", "attempt_number"])
+    return got.withColumns({"status": F.col("status_"), "finished_at": now, "duration_ms": duration_ms(F.col("started_at"), now), "error_code": F.col("code_"), "error_message": F.col("message_")}).drop("status_", "code_", "message_")
+
+
+def expired_attempts(attempts: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
+    """Attempts still open of jobs that failed, as ``exhausted`` gives them, with a lease that ended, closed."""
     got = attempts.where(F.col("finished_at").isNull()).join(jobs.where(F.col("from_status").isin(*HELD)).select("job_id"), "job_id", "left_semi")
-    return got.withColumns({"status": F.lit("LEASE_EXPIRED"), "finished_at": now, "duration_ms": F.coalesce("duration_ms", duration_ms(started, now))})
+    none = {c: F.lit(None).cast("string") for c in ("error_code", "error_message") if c not in attempts.columns}
+    return got.withColumns(none).withColumns({
+        "status": F.lit("LEASE_EXPIRED"), "finished_at": now, "duration_ms": F.coalesce("duration_ms", duration_ms(F.col("started_at"), now)),
+        "error_code": F.coalesce("error_code", F.lit("MAX_ATTEMPTS_EXHAUSTED")), "error_message": F.coalesce("error_message", F.lit("Lease expired on the final permitted attempt.")),
+    })
 
 
 def duration_ms(start: Column, end: Column) -> Column:

@@ -12,8 +12,8 @@ from tallyloom.plans.report_queries import ACCOUNTS
 from tallyloom.sources import schemas
 from tallyloom.sources.readers import table
 
-#: Labels of parts and of documents' first lines.
-RAW = "SELECT 'p' || p_partkey AS id, '  ' || p_name || ' – (' || p_type || ') ' AS label FROM part UNION ALL SELECT 'd' || doc_id, substr(split_part(text, chr(10), 1), 1, 120) FROM documents"
+#: Labels of parts, and documents' whole texts.
+RAW = "SELECT 'p' || p_partkey AS id, '  ' || p_name || ' – (' || p_type || ') ' AS label FROM part UNION ALL SELECT 'd' || doc_id, text FROM documents"
 SPACE = S.SPACE.replace("\\s", "\\s\\v")
 
 
@@ -23,7 +23,7 @@ def trimmed(x: str) -> str:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.lit("  "), "p_name", F.lit(" – ("), "p_type", F.lit(") ")).alias("label"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 120).alias("label"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("label"))
     return part.unionByName(docs)
 
 
@@ -42,9 +42,9 @@ def mapping_normalize_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir).select("id", S.issuer_key("label").alias("label_key"))
 
 
-@query(f"SELECT id, substr(lower({trimmed('label')}), 1, 40) AS label_key FROM ({RAW})")
+@query(f"SELECT id, substr(lower({trimmed('label')}), 1, 500) AS label_key FROM ({RAW})")
 def mapping_normalize_d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels(spark, sf_dir).select("id", S.staged_label("label", 40).alias("label_key"))
+    return labels(spark, sf_dir).select("id", S.staged_label("label").alias("label_key"))
 
 
 @query(f"SELECT p_partkey AS id, regexp_replace(upper({trimmed(chr(39) + ' ' + chr(39) + ' || p_name')}), '\\s+', '_', 'g') AS code FROM part")

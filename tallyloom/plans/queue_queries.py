@@ -109,9 +109,58 @@ def job_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.finish(done, queue(spark, sf_dir), now()).select("job_id", "from_status", "status", "completed_at", "attempt_status")
 
 
-@query(f"SELECT job_id, CASE WHEN attempt_count >= max_attempts THEN 'FAILED' ELSE 'RETRY_WAIT' END AS status, CASE WHEN attempt_count >= max_attempts THEN available_at ELSE {NOW} + INTERVAL 30 SECOND END AS available_at, CASE WHEN attempt_count >= max_attempts THEN 'MAX_ATTEMPTS_EXHAUSTED' END AS error_code FROM ({QUEUE}) WHERE {HELD}")
+#: What workers say of errors: a code, and a message that is longer than is kept.
+GIVEN = ("CASE job_id % 4 WHEN 1 THEN 'PROVIDER' WHEN 2 THEN 'TIMEOUT' END", "CASE WHEN job_id % 5 IN (1, 2) THEN repeat('late ' || job_id || ' ', 300) END")
+SAID = f"substr({GIVEN[1]}, 1, 2000)"
+OVER = "attempt_count >= max_attempts"
+
+
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims with what their workers say of an error."""
+    return claims(spark, sf_dir).withColumns({"given_code": F.expr(GIVEN[0]), "given_message": F.expr(GIVEN[1])})
+
+
+@query(f"SELECT job_id, CASE WHEN {OVER} THEN 'FAILED' ELSE 'RETRY_WAIT' END AS status, CASE WHEN {OVER} THEN available_at ELSE {NOW} + INTERVAL 30 SECOND END AS available_at, CASE WHEN {OVER} THEN 'MAX_ATTEMPTS_EXHAUSTED' ELSE {GIVEN[0]} END AS error_code, CASE WHEN {OVER} THEN coalesce({SAID}, 'Maximum job attempts exhausted.') ELSE {SAID} END AS error_message FROM ({QUEUE}) WHERE {HELD}")
 def job_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.retry(claims(spark, sf_dir), queue(spark, sf_dir), now()).select("job_id", "status", "available_at", "error_code")
+    return jobs.retry(told(spark, sf_dir), queue(spark, sf_dir), now()).select("job_id", "status", "available_at", "error_code", "error_message")
+
+
+ENDED = f"coalesce(substr({GIVEN[1]}, 1, 500), {{}})"
+
+
+@query(f"""SELECT job_id, 'MAX_ATTEMPTS_EXHAUSTED' AS event_type, status AS from_status, 'FAILED' AS to_status, 'FINALIZE' AS stage, 'Maximum job attempts exhausted' AS message FROM ({QUEUE}) WHERE {OVER} AND (status = 'RETRY_WAIT' OR {LAPSED})
+  UNION ALL SELECT job_id, 'CLAIMED', status, 'CLAIMED', 'CLAIM', 'Worker claimed job' FROM (SELECT job_id, status, row_number() OVER (ORDER BY {ORDER}) AS n FROM ({QUEUE}) WHERE {DUE}) WHERE n <= 4
+  UNION ALL SELECT job_id, {RESULT}, 'RUNNING', {RESULT}, 'FINALIZE', {ENDED.format(f"'Job finished as ' || {RESULT}")} FROM ({QUEUE}) WHERE {HELD} AND job_id % 2 = 0
+  UNION ALL SELECT job_id, CASE WHEN {OVER} THEN 'MAX_ATTEMPTS_EXHAUSTED' ELSE 'RETRY_SCHEDULED' END, 'RUNNING', CASE WHEN {OVER} THEN 'FAILED' ELSE 'RETRY_WAIT' END, CASE WHEN {OVER} THEN 'FINALIZE' ELSE 'RETRY' END,
+    {ENDED.format(f"CASE WHEN {OVER} THEN 'Maximum job attempts exhausted' ELSE 'Retry scheduled' END")} FROM ({QUEUE}) WHERE {HELD} AND job_id % 2 = 1""")
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log rows of one round: jobs without attempts left, claims, ends and retries."""
+    rows, said = queue(spark, sf_dir), told(spark, sf_dir)
+    ended = jobs.finish(said.where("job_id % 2 = 0").withColumn("result", F.expr(RESULT)), rows, now())
+    again = jobs.retry(said.where("job_id % 2 = 1"), rows, now())
+    out = jobs.exhausted_events(jobs.exhausted(rows, now())).unionByName(jobs.claim_events(jobs.claim(rows, WORKERS, now())))
+    return out.unionByName(jobs.finish_events(ended)).unionByName(jobs.retry_events(again))
+
+
+TOOK = f"CAST(greatest(0, floor((epoch_us({NOW}) - epoch_us(available_at)) / 1000)) AS DOUBLE)"
+
+
+@query(f"""SELECT job_id, attempt_count + 1 AS attempt_number, CASE n WHEN 1 THEN 'alpha' WHEN 2 THEN 'beta' WHEN 3 THEN 'delta' ELSE 'gamma' END AS worker_id, 'CLAIMED' AS status, CAST(NULL AS DOUBLE) AS duration_ms, CAST(NULL AS VARCHAR) AS error_code, CAST(NULL AS VARCHAR) AS error_message FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS n FROM ({QUEUE}) WHERE {DUE}) WHERE n <= 4
+  UNION ALL SELECT job_id, attempt_count, claimed_by, CASE WHEN {RESULT} = 'NEEDS_INPUT' THEN 'SUCCEEDED' ELSE {RESULT} END, {TOOK}, {GIVEN[0]}, {SAID} FROM ({QUEUE}) WHERE {HELD} AND job_id % 2 = 0
+  UNION ALL SELECT job_id, attempt_count, claimed_by, 'FAILED', {TOOK}, CASE WHEN {OVER} THEN 'MAX_ATTEMPTS_EXHAUSTED' ELSE {GIVEN[0]} END, CASE WHEN {OVER} THEN coalesce({SAID}, 'Maximum job attempts exhausted.') ELSE {SAID} END FROM ({QUEUE}) WHERE {HELD} AND job_id % 2 = 1
+  UNION ALL SELECT job_id, attempt_count, claimed_by, 'LEASE_EXPIRED', {TOOK}, 'MAX_ATTEMPTS_EXHAUSTED', 'Lease expired on the final permitted attempt.' FROM ({QUEUE}) WHERE {OVER} AND {LAPSED}""")
+def job_attempt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts that one round begins, ends, sends back or takes away."""
+    rows, said = queue(spark, sf_dir), told(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    running = rows.where("claim_token IS NOT NULL").select("job_id", F.col("attempt_count").alias("attempt_number"), F.col("claimed_by").alias("worker_id"), "claim_token", F.lit("RUNNING").alias("status"), F.col("available_at").alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("finished_at"), F.lit(None).cast("long").alias("duration_ms"), none.alias("error_code"), none.alias("error_message"))
+    begun = jobs.claim_attempts(jobs.claim(rows, WORKERS, now()), now())
+    ended = jobs.finish(said.where("job_id % 2 = 0").withColumn("result", F.expr(RESULT)), rows, now()).withColumn("attempt_status_", F.col("attempt_status"))
+    again = jobs.retry(said.where("job_id % 2 = 1"), rows, now())
+    closed = jobs.closed_attempts(running, said, ended, now(), F.col("attempt_status_")).unionByName(jobs.closed_attempts(running, said, again, now(), F.lit("FAILED")))
+    gone = jobs.expired_attempts(running, jobs.exhausted(rows, now()), now())
+    every = begun.unionByName(closed).unionByName(gone)
+    return every.select("job_id", "attempt_number", "worker_id", "status", F.col("duration_ms").cast("double").alias("duration_ms"), "error_code", "error_message")
 
 
 @query(f"SELECT job_id, {NOW} + INTERVAL 120 SECOND AS lease_expires_at FROM ({QUEUE}) WHERE {HELD}")
