@@ -12,11 +12,14 @@ are known by what surrounds it; this choice only affects how evenly strings are
 q-gram, the first bucket. Strings that stand next to each other and choose the same q-gram travel as one
 stretch. Of equal stretches the earliest stays and the others go at once. Where stretches with one q-gram
 differ, their bytes are fetched and refined to full depth. A q-gram with many different stretches is dealt
-to several tasks, whose survivors then meet by the hash of their whole string.
-
-Null and empty texts, and those shorter than ``DEPTH``, lose nothing. Rows with the same id and text are
-one document and get equal results; of different texts with one id, the order is that of a hash of the
-text. A null id comes before all others.
+to several tasks, whose survivors then meet by the hash of their whole string. Stretches that repeat one of
+their own task are settled there, so a text with many copies doesn't send all of them to one place.
+
+Null and empty texts, and those shorter than ``DEPTH``, lose nothing; an empty table stays empty. Rows with
+the same id and text are one document and get equal results; of different texts with one id, the order is
+that of a hash of the text, of 25 bits. A null id comes before all others. Ids are integers, or text that
+reads as one, since their order decides. A very long text is read in pieces. Other columns, whatever their
+names, are kept by ``remove`` and not read.
 """
 
 from __future__ import annotations
@@ -33,13 +36,13 @@ from tallyloom.llm import common
 
 DEPTH, GRAM = 100, 32
 #: Different stretches of a q-gram that one task refines; more are dealt to several.
-CROWD = 20_000
+CROWD = 8_000
 #: Rows of the sample that shows which q-grams are frequent, and in how many of them a frequent one is.
 FREQUENT = (1_000, 20)
 #: Bytes sorted at once, more only where one q-gram's stretches need it.
-SORTED = 4 << 20
+SORTED = 1 << 20
 #: Bytes of text looked at at once; positions must fit the low bits of a key.
-PIECE, LOW = 1 << 20, np.uint64((1 << 21) - 1)
+PIECE, LOW = 1 << 18, np.uint64((1 << 21) - 1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -148,10 +151,52 @@ def packed(tag: np.ndarray, at: np.ndarray, span: np.ndarray) -> np.ndarray:
     return tag.astype(np.int64) << 38 | at.astype(np.int64) << 7 | span.astype(np.int64)
 
 
+class Settled:
+    """Tells stretches that repeat an earlier one of the same task, so that copies don't all travel to one place.
+
+    Contents that stood twice in a slice of texts are remembered with their first stretch, up to ``most`` of
+    them; which ones are, is only a matter of speed.
+    """
+
+    def __init__(self, most: int = 1 << 16):
+        self.most = most
+        self.rows = np.zeros((0, 5), np.int64)
+
+    def __call__(self, gram: np.ndarray, whole: np.ndarray, doc: np.ndarray, none: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which stretches go on as the first of their content, and which repeat one; of equal rows one is either."""
+        first, again = np.ones(len(whole), bool), np.zeros(len(whole), bool)
+        rows = np.stack([whole.view(np.int64), gram.view(np.int64), ~none, doc, place], 1)  # null ids come first
+        order = np.argsort(rows[:, 0], kind="stable")
+        tie = np.append(False, rows[order[1:], 0] == rows[order[:-1], 0])
+        few = order[tie | np.append(tie[1:], False)]
+        few = few[np.lexsort(rows[few].T[::-1])]
+        equal = np.append(False, (rows[few[1:], :2] == rows[few[:-1], :2]).all(axis=1))[: len(few)]
+        twin = equal & np.append(False, (rows[few[1:], 2:] == rows[few[:-1], 2:]).all(axis=1))[: len(few)]
+        first[few[equal]] = False
+        again[few[equal & ~twin]] = True
+        known, left = self.rows, np.flatnonzero(first)
+        if len(known) and len(left):
+            at = np.minimum(np.searchsorted(known[:, 0], rows[left, 0]), len(known) - 1)
+            hit = (known[at, :2] == rows[left, :2]).all(axis=1)
+            left, old = left[hit], known[at[hit]]
+            new = rows[left]
+            same = (new[:, 2:] == old[:, 2:]).all(axis=1)
+            after = (new[:, 2] > old[:, 2]) | (new[:, 2] == old[:, 2]) & ((new[:, 3] > old[:, 3]) | (new[:, 3] == old[:, 3]) & (new[:, 4] > old[:, 4]))
+            first[left[same | after]] = False
+            again[left[after]] = True
+        lead = few[np.append(equal[1:], False) & ~equal & first[few]] if len(few) else few
+        if len(lead):
+            known = np.concatenate([known, rows[lead]]) if len(known) + len(lead) <= self.most else rows[lead[: self.most]]
+            known = known[np.lexsort(known.T[::-1])]
+            self.rows = known[np.append(True, known[1:, 0] != known[:-1, 0])]
+        return first, again
+
+
 def scan(depth: int, gram: int, late: Late):
-    """Stretches of every text: ``gram``, ``whole``, ``doc_id``, ``place``."""
+    """Stretches of every text: ``gram``, ``whole``, ``doc_id``, ``place``, and whether it is ``again`` one of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settled = Settled()
         for b in common.slices(batches, most=PIECE):
             data, at = raw_column(b.column("text"))
             tag = b.column("tag").to_numpy()
@@ -180,16 +225,19 @@ def scan(depth: int, gram: int, late: Late):
                     whole.append(w)
             if not doc:
                 continue
-            doc = np.concatenate(doc)
+            doc, key, whole = np.concatenate(doc), np.concatenate(key), np.concatenate(whole)
             place = packed(tag[doc], np.concatenate(lo), np.concatenate(span))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(whole).view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array(place)], ["gram", "whole", "doc_id", "place"])
+            ids = b.column("doc_id")
+            first, again = settled(key, whole, ids.fill_null(0).to_numpy()[doc], ids.is_null().to_numpy(zero_copy_only=False)[doc], place)
+            out = np.flatnonzero(first | again)
+            yield pa.RecordBatch.from_arrays([pa.array(key[out].view(np.int64)), pa.array(whole[out].view(np.int64)), ids.take(pa.array(doc[out])), pa.array(place[out]), pa.array(again[out])], ["gram", "whole", "doc_id", "place", "again"])
 
     return run
 
 
 def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of stretches sorted by q-gram, content and order: later equal ones (``open`` false), and the first of
-    each content where the q-gram has several contents (``open`` true)."""
+    each content where the q-gram has several contents (``open`` true). Those known to repeat one pass as they are."""
     last: pa.RecordBatch | None = None  # the row before
     held: pa.RecordBatch | None = None  # a first stretch, not known yet to be one of several
     several = False
@@ -198,6 +246,10 @@ def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([rows.column("gram"), rows.column("doc_id"), rows.column("place"), pa.array(np.full(rows.num_rows, open_))], ["gram", "doc_id", "place", "open"])
 
     for b in batches:
+        again = b.column("again")
+        if again.true_count:
+            yield out(b.filter(again), False)
+            b = b.filter(pa.compute.invert(again))
         if not b.num_rows:
             continue
         rows = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
@@ -352,12 +404,14 @@ def cut_out(depth: int):
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """``doc_id``, ``place``: runs of strings that also start earlier. ``docs``: doc_id, text and tag."""
+    """``doc_id``, ``tag``, ``places``: runs of strings that also start earlier. ``docs``: doc_id, text and tag."""
     late = frequent_grams(docs, gram, *FREQUENT)
-    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(scan(depth, gram, late), "gram long, whole long, doc_id long, place long")
-    rows = rows.repartition("gram").sortWithinPartitions("gram", "whole", F.col("doc_id").asc_nulls_first(), "place")
+    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(common.lean(scan(depth, gram, late)), "gram long, whole long, doc_id long, place long, again boolean")
+    rows = rows.withColumn("deal", F.when(F.col("again"), F.xxhash64("doc_id", "place")).otherwise(F.col("gram"))).repartition("deal").drop("deal")
+    rows = rows.sortWithinPartitions("again", "gram", "whole", F.col("doc_id").asc_nulls_first(), "place")
     found = common.materialize(rows.mapInArrow(told_apart, "gram long, doc_id long, place long, open boolean"), "stretches")
 
+    common.tidy(docs.sparkSession)
     open_ = found.where("open").select("gram", "doc_id", "place")
     crowds = open_.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.ceil(F.col("count") / crowd).cast("int").alias("parts"))
     open_ = open_.join(crowds, "gram", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
@@ -366,12 +420,15 @@ def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int =
     cut = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("doc_id", "text", "wanted")
     cut = cut.mapInArrow(cut_out(depth), "gram long, doc_id long, place long, bytes binary, salt int")
     cut = cut.repartition("gram", "salt").sortWithinPartitions("gram", "salt", F.col("doc_id").asc_nulls_first(), "place")
-    sorted_ = common.materialize(cut.mapInArrow(sort_stretches(depth), "doc_id long, place long, lead long, check long"), "strings")
+    sorted_ = common.materialize(cut.mapInArrow(common.lean(sort_stretches(depth)), "doc_id long, place long, lead long, check long"), "strings")
 
     late = sorted_.where(F.col("lead").isNotNull())
     low = late.groupBy("lead", "check").agg(F.min(F.struct("doc_id", "place")).alias("low"))
     late = late.join(low, ["lead", "check"]).where(~(F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("place") == F.col("low.place"))))
-    return found.where("not open").select("doc_id", "place").unionByName(sorted_.where(F.col("lead").isNull()).select("doc_id", "place")).unionByName(late.select("doc_id", "place"))
+    every = found.where("not open").select("doc_id", "place").unionByName(sorted_.where(F.col("lead").isNull()).select("doc_id", "place")).unionByName(late.select("doc_id", "place"))
+    places = common.materialize(every.groupBy("doc_id", F.shiftright("place", 38).alias("tag")).agg(F.collect_set("place").alias("places")), "places")
+    common.discard(found, sorted_)
+    return places
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -389,13 +446,13 @@ def spans_of(places: np.ndarray, size: int, depth: int) -> np.ndarray:
     return np.stack([lo[first], hi[np.append(first[1:], len(lo)) - 1]], 1) if len(lo) else np.zeros((0, 2), np.int64)
 
 
-def with_spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """All columns of ``docs`` and ``places_``, the strings to remove (null: none)."""
+def with_places(docs: DataFrame, depth: int, gram: int, crowd: int) -> tuple[DataFrame, str]:
+    """All columns of ``docs`` and one more, with its name: the strings to remove (null: none)."""
     common.small_batches(docs.sparkSession)
-    small = prepared(docs)
-    by_doc = repeats(small, depth, gram, crowd).groupBy(F.col("doc_id").alias("id_"), F.shiftright("place", 38).alias("tag_")).agg(F.collect_set("place").alias("places_"))
+    id_, tag_, places_ = common.fresh(docs, "id_", "tag_", "places_")
+    by_doc = repeats(prepared(docs), depth, gram, crowd).toDF(id_, tag_, places_)
     tag = F.pmod(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1 << 25))
-    return docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (tag == F.col("tag_")), "left").drop("id_", "tag_")
+    return docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (tag == F.col(tag_)), "left").drop(id_, tag_), places_
 
 
 def kept_bytes(raw: bytes, places: np.ndarray, depth: int) -> tuple[bytes, np.ndarray]:
@@ -406,7 +463,7 @@ def kept_bytes(raw: bytes, places: np.ndarray, depth: int) -> tuple[bytes, np.nd
 
 def digest(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """What is removed from every text, and a hash of what stays."""
-    rows = with_spans(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), depth, gram, crowd)
+    rows, _ = with_places(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), depth, gram, crowd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -423,7 +480,7 @@ def digest(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = C
 
 def remove(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``; bytes of a sign that is cut in two go as well."""
-    rows = with_spans(docs, depth, gram, crowd)
+    rows, places_ = with_places(docs, depth, gram, crowd)
 
     @F.udf("string", useArrow=True)
     def kept(text, places):
@@ -431,4 +488,4 @@ def remove(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = C
             return text
         return kept_bytes(text.encode(), np.array(places, np.int64), depth)[0].decode(errors="ignore")
 
-    return rows.withColumn("text", kept("text", "places_")).drop("places_")
+    return rows.withColumn("text", kept("text", places_)).drop(places_)
