@@ -50,6 +50,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Names of the bucketed tables by their folder.
+NAMES: dict[str, str] = {}
+
+
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``materialize``, the table being bucketed, so that joins on the column don't shuffle it again."""
+    spark = df.sparkSession
+    path, table = (f"{x}{name}{y}{uuid.uuid4().hex}" for x, y in ((f"{shared_dir(spark)}/tallyloom/", "-"), ("tallyloom_", "_")))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, column).write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    NAMES[path.rsplit("/", 1)[1]] = table
+    return spark.read.table(table)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables written by ``materialize`` that nothing will read any more."""
     for df in tables:
@@ -59,9 +73,17 @@ def discard(*tables: DataFrame | None) -> None:
         spark = df.sparkSession
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         if folder.getParent().getName() == "tallyloom":
+            if folder.getName() in NAMES:
+                spark.sql(f"DROP TABLE IF EXISTS {NAMES.pop(folder.getName())}")
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished queries: Spark deletes them when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each with as many underscores as it takes to differ from the columns of ``df``."""
     taken = {c.lower() for c in df.columns}
@@ -98,7 +120,7 @@ def with_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds about ``most`` bytes of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:
