@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import clamp, first_nonzero, issuer_key, ordinal
+from tallyloom.functions.scalars import clamp, first_nonzero, issuer_key, ordinal, staged_label
 from tallyloom.sources.schemas import STATEMENTS
 
 
@@ -108,12 +108,12 @@ def commit_entries(accepted: DataFrame) -> DataFrame:
     line = F.concat(F.col("reported_label"), F.lit(": "), F.col("raw_value"), F.when(F.coalesce("source_page", F.lit(0)) != 0, F.concat(F.lit(" (page "), F.col("source_page").cast("string"), F.lit(")"))).otherwise(""))
     rows = accepted.where(F.col("code").isNotNull() & F.col("numeric_value").isNotNull())
     got = rows.groupBy("run_id", "code").agg(
-        F.count(F.lit(1)).alias("n"), F.min("scale").alias("lo"), F.max("scale").alias("hi"), F.sum("numeric_value").alias("plain"), F.sum(F.col("numeric_value") * scale.cast("decimal(18,0)")).alias("scaled"),
+        F.count(F.lit(1)).alias("n"), F.count("scale").alias("scales"), F.min("scale").alias("lo"), F.max("scale").alias("hi"), F.sum("numeric_value").alias("plain"), F.sum(F.col("numeric_value") * scale.cast("decimal(18,0)")).alias("scaled"),
         F.countDistinct("source_page").alias("pages"), F.max("source_page").alias("page"), F.min(F.least(F.coalesce("extraction_confidence", F.lit(0.0)), F.coalesce("mapping_confidence", F.lit(0.0)))).alias("confidence"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), " | ").alias("provenance"),
         F.min_by("reported_label", "ord").alias("first_label"), F.min_by("currency", "ord").alias("currency"),
     )
-    same = F.col("lo") == F.col("hi")
+    same = (F.col("lo") == F.col("hi")) & (F.col("scales") == F.col("n"))  # a missing scale differs from a given one
     return got.select(
         "run_id", "code", "n", F.when(same, F.col("plain")).otherwise(F.col("scaled")).cast("double").alias("value"), F.when(same, F.col("lo")).otherwise(1).alias("scale"), F.col("scaled").cast("double").alias("scaled_value"),
         F.when(F.col("pages") == 1, F.col("page")).alias("source_page"), "confidence", "provenance",
@@ -157,7 +157,7 @@ def staged(extractions: DataFrame, accounts: DataFrame) -> DataFrame:
     known = F.col("account_name").isNotNull()
     return got.select(
         "run_id", F.col("pos").alias("ord"), F.col("c.statementType").alias("statement_type"), F.substring("c.reportedLabel", 1, 500).alias("reported_label"),
-        F.substring(F.lower(F.trim("c.reportedLabel")), 1, 500).alias("normalized_label"), F.substring("c.rawValue", 1, 250).alias("raw_value"), value.cast("decimal(28,6)").alias("numeric_value"),
+        staged_label("c.reportedLabel").alias("normalized_label"), F.substring("c.rawValue", 1, 250).alias("raw_value"), value.cast("decimal(28,6)").alias("numeric_value"),
         F.coalesce(F.nullif("c.currency", F.lit("")), F.nullif("cur_", F.lit(""))).alias("currency"), first_nonzero("c.scale", "scale_", F.lit(1)).alias("scale"), page.alias("source_page"),
         F.substring("c.sourceText", 1, 2000).alias("source_text"), at.alias("chunk_ordinal"), F.when(known, F.upper("canonical_code")).alias("code"), clamp("c.extractionConfidence").alias("extraction_confidence"),
         F.when(known, clamp("c.mappingConfidence")).otherwise(0.0).alias("mapping_confidence"), F.when(known, "AI").alias("mapping_method"), F.lit("PENDING").alias("status"),
