@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,13 +129,19 @@ def grouped_number(x: Column | str) -> Column:
     return F.translate(F.regexp_replace(F.format_number(col(x), 3), r"\.?0+$", ""), ",.", ".,")
 
 
-def to_fixed(value: float | None, digits: int) -> str | None:
-    """Rounding of the exact binary value, halves away from zero."""
-    if value is None:
-        return None
-    return str(Decimal(value).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
-
-
 def fixed_text(x: Column | str, digits: int) -> Column:
-    """``to_fixed`` as a column, for labels alone; Spark's own formats round the decimal form."""
-    return F.udf(lambda v: to_fixed(v, digits), "string", useArrow=True)(col(x))
+    """A number below 2^63 with so many decimals, rounded by its exact binary value, halves away from zero.
+
+    Spark's own formats round the decimal form. Here the fraction's product with a power of ten is kept in two
+    doubles, the rounded product and its exact error, which alone decides where the first ends in a half.
+    """
+    x, scale = col(x).cast("double"), float(10**digits)
+    whole = F.floor(F.abs(x))
+    part = F.abs(x) - whole
+    high = part * 134217729.0 - (part * 134217729.0 - part)  # the upper half of the fraction's bits
+    product = part * scale
+    error = (high * scale - product) + (part - high) * scale
+    rest = product - F.floor(product)
+    n = F.floor(product) + F.when((rest > 0.5) | ((rest == 0.5) & (error >= 0)), 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.concat(sign, (whole + F.when(n == int(scale), 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))

@@ -41,20 +41,25 @@ def preflight(rows: DataFrame, text: Column) -> DataFrame:
 def chunks_of(text: Column, most: int = CHUNK_CHARS) -> Column:
     """A text's chunks: blocks between blank lines are packed together, longer ones cut into equal lengths.
 
-    A fold over the blocks of one text; its state is that text's chunks, so memory is bounded by the text.
+    A fold over the lengths of one text's blocks finds where chunks begin; each is then joined once, so time goes
+    with the text's length.
     """
     blocks = F.filter(F.transform(F.split(text, r"\n\s*\n+"), trim_all), lambda b: b != "")
-    none = F.expr("CAST(array() AS ARRAY<STRING>)")
-    start = F.struct(none.alias("out"), F.lit("").alias("cur"))
-    flushed = lambda s: F.when(s["cur"] != "", F.array_append(s["out"], trim_all(s["cur"]))).otherwise(s["out"])
+    cut_up = lambda b: F.transform(F.regexp_extract_all(b, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)), lambda p: F.struct(p.alias("text"), (F.length(b) > most).alias("alone")))
+    start = F.struct(F.expr("CAST(array() AS ARRAY<INT>)").alias("starts"), F.lit(0).alias("at"), F.lit(-1).alias("size"))
 
-    def step(s: Column, b: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), ((F.length(b) - 1) / most).cast("int")), lambda i: F.substring(b, i * most + 1, F.lit(most)))
-        full = F.length(s["cur"]) + F.length(b) + 2 > most
-        joined = F.when(s["cur"] == "", b).otherwise(F.concat(s["cur"], F.lit("\n\n"), b))
-        return F.when(F.length(b) > most, F.struct(F.concat(flushed(s), pieces).alias("out"), F.lit("").alias("cur"))).when(full, F.struct(flushed(s).alias("out"), b.alias("cur"))).otherwise(F.struct(s["out"].alias("out"), joined.alias("cur")))
+    def step(s: Column, p: Column) -> Column:
+        n = F.length(p["text"])
+        begins = p["alone"] | (s["size"] < 0) | (s["size"] + n + 2 > most)
+        size = F.when(p["alone"], F.lit(-1)).when(begins, n).otherwise(s["size"] + 2 + n)
+        return F.struct(F.when(begins, F.array_append(s["starts"], s["at"])).otherwise(s["starts"]).alias("starts"), (s["at"] + 1).alias("at"), size.alias("size"))
 
-    return F.aggregate(blocks, start, step, flushed)
+    def joined(pieces: Column) -> Column:
+        begun = F.array(F.aggregate(pieces, start, step, lambda s: s["starts"]))
+        last = lambda starts, i: F.coalesce(F.get(starts, i + 1), F.size(pieces))
+        return F.transform(begun, lambda starts: F.transform(starts, lambda at, i: F.array_join(F.slice(pieces["text"], at + 1, last(starts, i) - at), "\n\n")))[0]
+
+    return F.transform(F.array(F.flatten(F.transform(blocks, cut_up))), joined)[0]
 
 
 def chunked(rows: DataFrame, text: Column, most: int = CHUNK_CHARS) -> DataFrame:

@@ -126,14 +126,13 @@ def commit_verdicts(candidates: DataFrame, runs: DataFrame, reports: DataFrame)
 
     ``runs``: run_id, company, year, period, status, report_id. ``reports``: report_id, company, year, period.
     """
-    counts = review_counts(candidates).select("run_id", "pending")
-    usable = candidates.where((F.col("status") == "ACCEPTED") & F.col("code").isNotNull() & F.col("numeric_value").isNotNull())
-    n = usable.groupBy("run_id").agg(F.count(F.lit(1)).alias("usable"))
-    unsafe = safe_groups(usable).groupBy("run_id").agg(F.count_if(~F.col("is_safe")).alias("unsafe"))
-    amount = F.sum(F.col("numeric_value") * first_nonzero("scale", F.lit(1)).cast("decimal(18,0)"))
-    totals = usable.groupBy("run_id").pivot("code", ["TOTAL_ASSETS", "TOTAL_LIAB", "EQUITY"]).agg(amount.cast("double"))
+    accepted = (F.col("status") == "ACCEPTED") & F.col("code").isNotNull() & F.col("numeric_value").isNotNull()
+    amount = F.col("numeric_value") * first_nonzero("scale", F.lit(1)).cast("decimal(18,0)")
+    totals = [F.sum(F.when(accepted & (F.col("code") == c), amount)).cast("double").alias(c) for c in ("TOTAL_ASSETS", "TOTAL_LIAB", "EQUITY")]
+    sums = candidates.groupBy("run_id").agg(F.count_if(F.col("status") == "PENDING").alias("pending"), F.count_if(accepted).alias("usable"), *totals)
+    unsafe = safe_groups(candidates.where(accepted)).groupBy("run_id").agg(F.count_if(~F.col("is_safe")).alias("unsafe"))
     taken = reports.select(F.col("report_id").alias("other_id"), F.col("company").alias("c_"), F.col("year").alias("y_"), F.col("period").alias("p_"))
-    got = runs.join(counts, "run_id", "left").join(n, "run_id", "left").join(unsafe, "run_id", "left").join(totals, "run_id", "left")
+    got = runs.join(sums, "run_id", "left").join(unsafe, "run_id", "left")
     got = got.join(taken, (F.col("company") == F.col("c_")) & (F.col("year") == F.col("y_")) & (F.col("period") == F.col("p_")), "left")
     a, rest = F.col("TOTAL_ASSETS"), F.abs(F.col("TOTAL_ASSETS") - F.col("TOTAL_LIAB") - F.col("EQUITY"))
     verdict = (

@@ -112,13 +112,22 @@ def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunked(docs, F.col("text"), 600)
 
 
-@query()
+#: Lines as blocks, long ones in pieces, and the chunk that each piece goes to, piece after piece.
+PACKED = f"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents), b AS (SELECT doc_id, k, {trimmed('b')} AS b FROM l WHERE {trimmed('b')} <> ''),
+  p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS n, substr(b, i * 600 + 1, 600) AS piece, length(b) > 600 AS alone FROM (SELECT doc_id, k, b, unnest(range(0, (length(b) + 599) // 600)) AS i FROM b)),
+  c AS (SELECT doc_id, n, 1 AS ordinal, CASE WHEN alone THEN -1 ELSE length(piece) END AS size FROM p WHERE n = 1 UNION ALL SELECT p.doc_id, p.n, CASE WHEN alone OR size < 0 OR size + length(piece) + 2 > 600 THEN ordinal + 1 ELSE ordinal END,
+    CASE WHEN alone THEN -1 WHEN size < 0 OR size + length(piece) + 2 > 600 THEN length(piece) ELSE size + 2 + length(piece) END FROM c JOIN p ON p.doc_id = c.doc_id AND p.n = c.n + 1),
+  k AS (SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, string_agg(piece, chr(10) || chr(10) ORDER BY n) AS chunk FROM c JOIN p USING (doc_id, n) GROUP BY doc_id, ordinal)
+"""
+
+
+@query(PACKED + "SELECT doc_id, ordinal, chunk, sha256(chunk) AS chunk_hash FROM k")
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of texts whose lines are blocks; a fold, which SQL doesn't say."""
+    """Chunks of texts whose lines are blocks."""
     return packed(spark, sf_dir).select("doc_id", "ordinal", "chunk", "chunk_hash")
 
 
-@query()
+@query(PACKED + "SELECT doc_id, count(*) AS n_chunks, max(length(chunk)) AS longest FROM k GROUP BY doc_id")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"))
 

@@ -210,14 +210,21 @@ def lease_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams, run over what is there
 
 
-@query()
+#: What a stream over the whole table has closed: windows that ended two hours before its last event or earlier.
+CLOSED = "<= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOUR FROM events)"
+
+
+@query(f"SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR {CLOSED}")
 def stream_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.drain(events.tumbling(events.read(spark, sf_dir)))
+    got = events.drain(events.tumbling(events.read(spark, sf_dir)))
+    return got.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events), b AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM a)
+  SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, user_id, count(*) AS n_events FROM b GROUP BY user_id, n HAVING max(ts) + INTERVAL 30 MINUTE {CLOSED}""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.drain(events.sessions(events.read(spark, sf_dir)))
+    got = events.drain(events.sessions(events.read(spark, sf_dir)))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
 @query()

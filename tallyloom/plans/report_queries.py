@@ -218,7 +218,14 @@ def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("year", S.ratio(F.col("net_profit").cast("double"), "revenue").alias("net_margin"), S.ratio(F.col("ocf").cast("double"), "net_profit").alias("ocf_to_net_profit"), (F.col("debt") - F.lag("debt").over(Window.orderBy("year"))).cast("double").alias("debt_change"))
 
 
-@query()
+def shown(x: str, unit: str) -> str:
+    """A ratio's text in SQL, whose format rounds halves to even."""
+    digits = 1 if unit == "%" else 2
+    half = f"CASE WHEN ({x}) * {4 ** digits // digits} % 2 IN (1, -1) THEN sign({x}) * 0.001 ELSE 0.0 END"
+    return f"coalesce(format('{{:.{digits}f}}', ({x}) + {half}) || '{unit}', 'N/A')"
+
+
+@query(WIDE + " UNION ALL ".join(f"SELECT {KEYS}, '{n}' AS ratio, {shown(x, r[3])} AS shown, CASE WHEN {x} {r[4]} {r[5]} THEN 'Healthy' ELSE 'Monitor' END AS verdict FROM w" for x, (n, r) in zip(PAGE, ratios.PAGE.items())))
 def ratio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratios as they are shown, rounded from the exact binary value."""
     got = ratios.health(wide(spark, sf_dir), facts.KEYS)

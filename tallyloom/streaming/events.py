@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.readers import shared_dir
+
 
 def read(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """A table as a stream of its files."""
@@ -40,12 +42,14 @@ def once(rows: DataFrame, keys: list[str], late: str = "2 hours") -> DataFrame:
     return timed(rows).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table in memory, for reports and tests."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(rows: DataFrame) -> DataFrame:
+    """All that a stream gives for what is there now. It is written to files in the shared folder, never to the
+    driver's memory; windows that the watermark hasn't closed aren't in it."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/tallyloom/stream-{uuid.uuid4().hex}"
+    query = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
 def apply_batches(rows: DataFrame, change: Callable[[DataFrame, int], None], checkpoint: str):

@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,8 +81,11 @@ def test_normalizers(spark):
     assert one(spark, None, S.issuer_key("x"), S.flag("x"), S.flag("x", True)) == ["", False, True]
 
 
-def test_exact_rounding():
-    assert [S.to_fixed(*x) for x in [(1.005, 2), (2.675, 2), (12345.65, 1), (0.35, 1), (18.75, 1), (-0.5, 2), (None, 1)]] == ["1.00", "2.67", "12345.6", "0.3", "18.8", "-0.50", None]
+def test_exact_rounding(spark):
+    numbers = [1.005, 2.675, 12345.65, 0.35, 18.75, -0.5, None, 0.125, 0.375, -2.25, 0.995, 0.9999, -0.001, 0.0, 99.995, 1e15 + 0.25, *(k / 1000 for k in range(-2000, 2000, 7)), *(k / 7 for k in range(300))]
+    for digits in (1, 2):
+        got = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").select("i", S.fixed_text("x", digits).alias("t")).orderBy("i").collect()
+        assert [r["t"] for r in got] == [None if x is None else str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) for x in numbers]
 
 
 @pytest.mark.parametrize(("code", "labels", "safe"), [
