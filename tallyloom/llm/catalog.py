@@ -59,4 +59,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"op1_toxicity": op1_toxicity, "op2_media": op2_media, "op4_suffix_dedup": op4_suffix_dedup, "op5_pii": op5_pii, "op6_jaccard": op6_jaccard, "op7_passages": op7_passages, "op8_quality": op8_quality, "op3_bpe": op3_bpe, "op9_packing": op9_packing, "op10_langid": op10_langid}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Whole texts' words, five-word windows and lines, each host's frequent lines, and the verdict, in the operator's limits.
+QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM d),
+  u AS (SELECT r, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w),
+  g AS (SELECT r, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM u WINDOW o AS (PARTITION BY r ORDER BY i)),
+  h AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c, d, e) AS n FROM g WHERE e IS NOT NULL),
+  rep AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM h WHERE n > 1) GROUP BY r),
+  l AS (SELECT r, source, t, line, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS size, trim(regexp_replace(regexp_replace(lower(line), '[^\\pL\\pN]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
+    FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+  dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
+  freq AS (SELECT source, norm FROM l JOIN (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source) x USING (source) GROUP BY source, norm, host_docs HAVING count(DISTINCT t) >= {quality.LINE_DOCUMENTS} AND count(DISTINCT t) >= {quality.LINE_SHARE} * host_docs),
+  cut AS (SELECT r, sum(size) AS cut_words FROM l SEMI JOIN freq USING (source, norm) GROUP BY r),
+  f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(cut_words, 0) AS words_left FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cut USING (r)),
+  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND words_left >= {quality.LEAST_WORDS} AND words_left >= {quality.LEAST_SHARE} * n_words AS kept, CAST(words_left AS BIGINT) AS words_left FROM b"""
+
+ORACLE_SQL: dict[str, str] = {"op8_quality": QUALITY}

@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from tallyloom.llm import quality
+import duckdb
+
+from tallyloom.llm import catalog, quality
 
 
 def base(text):
@@ -41,3 +43,12 @@ def test_verdict(spark):
 
 def test_empty_table(none):
     assert quality.judge(none).count() == 0
+
+
+def test_sql_equals_the_operator(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = catalog.op8_quality(spark, folder)
+    names = ", ".join(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {names} FROM ({catalog.QUALITY})").fetchall())
