@@ -188,6 +188,22 @@ def merged(jobs: DataFrame, changed: DataFrame) -> DataFrame:
     return jobs.join(changed.select("job_id"), "job_id", "left_anti").unionByName(changed.select(*jobs.columns))
 
 
+def log_violations(log: DataFrame, start: str = "QUEUED") -> DataFrame:
+    """The first illegal move of each job's log, by the table of moves as an automaton that begins in ``start``.
+
+    ``log``: job_id, event_id, ts, from_status, to_status. Up to a job's first illegal move every move was legal, so the automaton is in the
+    state that the move before led to, and no fold over the log is needed: a move is illegal if it doesn't begin there
+    (WRONG_STATE) or isn't in the table (NOT_ALLOWED). Missing states are illegal. ``step`` is the move's place in the log.
+    A job's log is read in order from a sort that spills, never held whole.
+    """
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    rows = log.withColumns({"step": F.row_number().over(w), "state": F.coalesce(F.lag("to_status").over(w), F.when(F.row_number().over(w) == 1, F.lit(start)))})
+    problem = F.when(~F.coalesce(F.col("from_status") == F.col("state"), F.lit(False)), "WRONG_STATE").when(~move_allowed(F.col("from_status"), F.col("to_status")), "NOT_ALLOWED")
+    rows = rows.withColumn("problem", problem)
+    first = F.min_by(F.struct("event_id", "step", "state", "from_status", "to_status", "problem"), "step")
+    return rows.where(F.col("problem").isNotNull()).groupBy("job_id").agg(first.alias("v")).select("job_id", "v.*")
+
+
 def policy_errors(policy: DataFrame) -> DataFrame:
     """What is wrong with each lease policy: lease, heartbeat, grace, attempts and backoff in seconds."""
     rules = {

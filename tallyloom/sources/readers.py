@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a step's rows to the shared folder and read them again, so that no later step runs this one again.
+
+    They stay in ``tallyloom`` under it until whoever owns the folder clears it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the financial-fact store, read with its declared schema."""
     return spark.read.schema(schemas.schema(name)).parquet(f"{folder}/{name}")
