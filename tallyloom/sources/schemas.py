@@ -27,6 +27,10 @@ STATUS_GROUPS = {
     "FAILED": ("FAILED",),
 }
 
+# Periods and codes of a report that is entered by hand.
+BODY_PERIODS = ("Q1", "H1", "Q3", "FY")
+BODY_VALUES = ("REV", "NET_PROFIT", "TOTAL_ASSETS", "TOTAL_LIAB", "EQUITY", "OCF")
+
 # Canonical accounts as code, name, and for each statement and nature a first sort order; steps of ten.
 ACCOUNT_BLOCKS = [
     ("INCOME_STATEMENT", 100, [
@@ -76,7 +80,7 @@ HISTORY = [
 ACCOUNTS = [(code, name, statement, nature, first + 10 * i) for statement, first, rows in ACCOUNT_BLOCKS for i, (code, name, nature) in enumerate(rows)]
 
 STAMPS = "createdAt timestamp, updatedAt timestamp"
-#: Tables of the store, as DDL. Money is decimal(28,6); ids are strings; enums are strings within their domain.
+# Tables of the store, as DDL. Money is decimal(28,6); ids are strings; enums are strings within their domain.
 TABLES: dict[str, str] = {
     "Company": f"id string, ticker string, name string, sector string, subsector string, country string, ipoYear int, currency string, fiscalYearEnd int, isActive boolean, {STAMPS}",
     "FinancialReport": f"id string, companyId string, year int, periodType string, periodStart timestamp, periodEnd timestamp, audited boolean, consolidated boolean, sourceType string, sourceFile string, status string, createdBy string, {STAMPS}",
@@ -99,7 +103,7 @@ TABLES: dict[str, str] = {
     "MetadataAssertion": f"id string, documentId string, field string, value string, status string, confidence double, page int, {STAMPS}",
     "AsyncExtractionJob": f"id string, fileName string, mimeType string, fileSize int, checksum string, status string, openAiResponseId string, runId string, detectedTicker string, detectedCompanyName string, detectedYear int, detectedPeriodType string, errorMessage string, preflight struct<processingMode:string,hasLikelyTextLayer:boolean,confidence:double,reason:string>, fileData binary, {STAMPS}",
 }
-#: The extraction service's answer.
+# The extraction service's answer.
 EXTRACTION = "detectedCompanyTicker string, detectedCompanyName string, detectedCompanyConfidence double, detectedYear int, detectedPeriodType string, detectedPeriodConfidence double, detectedCurrency string, detectedUnitScale int, pageCount int, chunks array<struct<section:string,chunkType:string,pageStart:int,pageEnd:int,textSummary:string>>, candidates array<struct<statementType:string,reportedLabel:string,rawValue:string,numericValue:double,currency:string,scale:int,sourcePage:int,sourceText:string,canonicalCode:string,extractionConfidence:double,mappingConfidence:double>>"
 
 
