@@ -83,8 +83,8 @@ QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coale
   l AS (SELECT r, source, t, line, len(regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+')) AS size, trim(regexp_replace(regexp_replace(lower(line), '[^\\pL\\pN]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
     FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
   dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r),
-  freq AS (SELECT source, norm FROM l JOIN (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source) x USING (source) GROUP BY source, norm, host_docs HAVING count(DISTINCT t) >= {quality.LINE_DOCUMENTS} AND count(DISTINCT t) >= {quality.LINE_SHARE} * host_docs),
-  cut AS (SELECT r, sum(size) AS cut_words FROM l SEMI JOIN freq USING (source, norm) GROUP BY r),
+  freq AS (SELECT l.source, norm FROM l JOIN (SELECT source, count(*) AS host_docs FROM d GROUP BY source) x ON l.source IS NOT DISTINCT FROM x.source GROUP BY l.source, norm, host_docs HAVING count(DISTINCT r) >= {quality.LINE_DOCUMENTS} AND count(DISTINCT r) >= {quality.LINE_SHARE} * host_docs),
+  cut AS (SELECT r, sum(size) AS cut_words FROM l SEMI JOIN freq ON l.norm = freq.norm AND l.source IS NOT DISTINCT FROM freq.source GROUP BY r),
   f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(w) - coalesce(cut_words, 0) AS words_left FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN cut USING (r)),
   b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
   SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND words_left >= {quality.LEAST_WORDS} AND words_left >= {quality.LEAST_SHARE} * n_words AS kept, CAST(words_left AS BIGINT) AS words_left FROM b"""

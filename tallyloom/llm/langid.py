@@ -28,7 +28,7 @@ from tallyloom.llm import common
 
 #: Labelled rows of each language that dictionaries are made from, at most, and bytes of a dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 400, 48 << 10
-#: Signs taken from the front of one sample text, so that many texts speak for a language; bytes of a dictionary, at least.
+#: Signs taken from one sample text, from a place given by its hash, so that many texts speak for a language; bytes of a dictionary, at least.
 SAMPLE_SIGNS, LEAST_BYTES = 512, 8
 LEVEL, BLOCK = 9, 1024
 #: Least relative margin between the best and the second best total.
@@ -53,7 +53,7 @@ def dictionaries(labelled: DataFrame, folds: int = 4, held: int = 2) -> Spec:
     """
     rows = (
         labelled.where((common.crc_fold("doc_id", folds) != held) & F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select("lang", F.expr(f"substring(text, 1, {SAMPLE_SIGNS})").alias("text"), F.xxhash64("text").alias("h"))
+        .select("lang", F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), greatest(length(text) - {SAMPLE_SIGNS}, 0) + 1) as int), {SAMPLE_SIGNS})").alias("text"), F.xxhash64("text").alias("h"))
         .groupBy("lang", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot"))
         .agg(F.min_by("text", F.struct("h", "text")).alias("text"), F.count(F.lit(1)).alias("n"))
         .collect()

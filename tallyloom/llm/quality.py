@@ -1,12 +1,15 @@
 """Quality rules with cross-document line frequencies.
 
-Each line is normalised and hashed. For each host, the distinct documents that hold a line are
-counted, exact copies of a text as one. Lines above the limits are boilerplate; a document that
-keeps too few of its words without them is depleted and rejected.
+Each line is normalised and hashed. For each host, the documents that hold a line are counted. Lines above the limits
+are boilerplate; a document that keeps too few of its words without them is depleted and rejected.
 
-Counts are taken over all documents, in two steps of partial aggregation, so neither a host nor a line
-meets in one task before it is summed. Null and empty texts have no words and fail the base rule. A null
-host is a host of its own. Rows with equal ids are judged each for itself.
+A document is a row: a page that a host holds sixty times makes its lines frequent there. With ``copies="once"`` exact copies of a
+text in a host count as one document, so that they don't drive one another out.
+
+Counts are taken over all documents and summed within each task first, so neither a host nor a line meets in one task
+before it is summed. Null and empty texts have no words and fail the base rule. A null host is a host of its own. Rows
+with equal ids, and equal rows, are judged each for itself. A very long text is measured whole, a slice of texts at a time. Limits hold from
+their value on, so nothing ties. An empty table gives an empty result. Of other columns none is read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import common
 
-#: A line is boilerplate in a host if this many distinct texts there hold it, and this share of the host's.
+#: A line is boilerplate in a host if this many documents there hold it, and this share of the host's.
 LINE_DOCUMENTS, LINE_SHARE = 25, 0.005
 #: A document is depleted if it keeps fewer words than this, or less than this share of them.
 LEAST_WORDS, LEAST_SHARE = 10, 0.3
@@ -95,18 +98,21 @@ def scan(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_hash long, lines array<long>, sizes array<int>").withColumn("row_", F.monotonically_increasing_id())
 
 
-def frequent_lines(scanned: DataFrame, least: int = LINE_DOCUMENTS, share: float = LINE_SHARE) -> DataFrame:
-    """``host``, ``line`` and the distinct documents that hold it, where they are above both limits."""
+def frequent_lines(scanned: DataFrame, least: int = LINE_DOCUMENTS, share: float = LINE_SHARE, copies: str = "each") -> DataFrame:
+    """``host``, ``line`` and the documents that hold it, where they are above both limits; ``copies``: each, or once."""
+    if copies not in ("each", "once"):
+        raise ValueError("copies count each or once")
+    n = F.count(F.lit(1)) if copies == "each" else F.countDistinct("text_hash")
     lines = scanned.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line"))
-    by_line = lines.groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n_docs")).where(F.col("n_docs") >= least)
-    by_host = scanned.groupBy("host").agg(F.countDistinct("text_hash").alias("host_docs"))
+    by_line = lines.groupBy("host", "line").agg(n.alias("n_docs")).where(F.col("n_docs") >= least)
+    by_host = scanned.groupBy("host").agg(n.alias("host_docs"))
     return by_line.join(by_host, by_line["host"].eqNullSafe(by_host["host"])).where(F.col("n_docs") >= share * F.col("host_docs")).select(by_line["host"], "line", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Base figures and verdict of every document, ``words_left`` without frequent lines included."""
+def judge(docs: DataFrame, host: str = "source", copies: str = "each") -> DataFrame:
+    """Base figures and verdict of every document, ``words_left`` without frequent lines included. ``copies``: as of ``frequent_lines``."""
     scanned = common.materialize(scan(docs, host), "lines")
-    frequent = frequent_lines(scanned).select(F.col("host").alias("host_"), F.col("line").alias("line_"))
+    frequent = frequent_lines(scanned, copies=copies).select(F.col("host").alias("host_"), F.col("line").alias("line_"))
     lines = scanned.select("row_", "host", F.explode(F.arrays_zip("lines", "sizes")).alias("x")).select("row_", "host", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     cut = lines.join(frequent, (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_")), "left_semi").groupBy("row_").agg(F.sum("size").alias("cut_words"))
     left = F.col("n_words") - F.coalesce("cut_words", F.lit(0))

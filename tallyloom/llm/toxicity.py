@@ -72,6 +72,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in shape:
             code = code * STEP + text[at + k]
             code ^= code >> np.uint64(29)
+        # The last sign is mixed in as the others are; a key drops the lowest bit.
+        code *= STEP
+        code ^= code >> np.uint64(32)
         who.append(owner[at])
         key.append((code >> np.uint64(1)).view(np.int64))
         weight.append(np.full(len(at), DECAY ** (shape[-1] - len(shape)), np.float32))

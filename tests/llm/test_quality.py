@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 
 from tallyloom.llm import catalog, quality
 
@@ -38,13 +39,26 @@ def test_verdict(spark):
     assert got[100] == (False, False, 2) and got[102] == (False, False, 0)
     assert got[101] == (False, True, 16)
     assert got[103] == (True, False, 0)
-    assert got[200] == (False, True, 12)
+    assert got[200] == (False, False, 0)  # a page of which its host holds sixty
+    once = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), copies="once").collect()}
+    assert once[200] and once[259] and not once[100]
+    with pytest.raises(ValueError):
+        quality.frequent_lines(quality.scan(spark.createDataFrame(rows[:1], "doc_id long, text string, source string")), copies="never")
 
 
 def test_empty_table(none):
     assert quality.judge(none).count() == 0
 
 
+def test_null_hosts_long_texts_and_clashing_names(spark):
+    line = "a line that everybody of no host at all has somewhere in it"
+    rows = [(i, f"{line}\n" + " ".join(f"own{i}x{k}" for k in range(11)), None, 1, "mine") for i in range(40)] + [(99, "word " * 200_000 + "\n" + " ".join(f"end{k}" for k in range(99)), None, 2, "mine")]
+    schema = "doc_id long, text string, source string, line int, host string"
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert all((got[i]["kept"], got[i]["words_left"]) == (True, 11) for i in range(40))
+    assert got[99]["n_words"] == 200_099 and got[99]["base_failed"] and got[99]["n_repeat_words"] == 200_000
+
+
 def test_sql_equals_the_operator(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
