@@ -94,10 +94,11 @@ def period_end(year: Column | str, period: Column | str) -> Column:
     return F.last_day(F.make_date(col(year).cast("int"), month, F.lit(1)))
 
 
-def flag(x: Column | str, default: bool = False) -> Column:
-    """A switch's text as a boolean, null if it isn't one."""
+def flag(x: Column | str, default: bool = False, name: str | None = None) -> Column:
+    """A switch's text as a boolean. One that isn't a switch's is null, or with the switch's ``name`` given an error that says so."""
     x = F.lower(trim_all(F.coalesce(col(x), F.lit(""))))
-    return F.when(x == "", F.lit(default)).when(x.isin("1", "true", "yes", "on"), F.lit(True)).when(x.isin("0", "false", "no", "off"), F.lit(False))
+    out = F.when(x == "", F.lit(default)).when(x.isin("1", "true", "yes", "on"), F.lit(True)).when(x.isin("0", "false", "no", "off"), F.lit(False))
+    return out if name is None else out.otherwise(F.raise_error(F.lit(f"{name} must be one of true/false, 1/0, yes/no, or on/off.")).cast("boolean"))
 
 
 def friendly_status(x: Column | str) -> Column:

@@ -6,7 +6,7 @@ kinds of children is never multiplied, and one without any stays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ordinal
@@ -43,6 +43,13 @@ def active(table: DataFrame, *columns: str) -> DataFrame:
     return table.where("is_active").select(*columns)
 
 
+def account_master(accounts: DataFrame) -> DataFrame:
+    """Active accounts in order of statement, sort order and name, with their ``place`` within the statement."""
+    order = [F.col(c) for c in ("sort_order", "name", "account_id")]
+    got = accounts.where("is_active").withColumn("place", F.row_number().over(Window.partitionBy("statement_type").orderBy(*order)))
+    return got.orderBy(ordinal("statement_type", STATEMENTS), "place")
+
+
 def extractable(accounts: DataFrame) -> DataFrame:
     """Accounts that a document can state, in order of statement and place."""
     return accounts.where("is_active AND NOT is_calculated").orderBy(ordinal("statement_type", STATEMENTS), "sort_order")

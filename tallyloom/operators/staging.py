@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import clamp, first_nonzero, issuer_key, ordinal, staged_label
+from tallyloom.functions.scalars import clamp, first_given, first_nonzero, issuer_key, ordinal, staged_label
 from tallyloom.sources.schemas import STATEMENTS
 
 
+class UnknownCodes(ValueError):
+    """Codes that no account has."""
+
+
+def accounts_of(rows: DataFrame, accounts: DataFrame, code: str = "code", named: int = 20) -> DataFrame:
+    """Rows with their account's ``account_name`` and ``account_statement``; codes that no account has are an error.
+
+    The codes are looked for first, as an anti join of distinct ones; the error names the first ``named`` of them and says how many there are.
+    """
+    known = accounts.select(F.col("code").alias("code_"), F.col("name").alias("account_name"), F.col("statement_type").alias("account_statement"))
+    missing = rows.select(F.col(code).alias("m_")).distinct().join(known, F.col("m_") == F.col("code_"), "left_anti")
+    if first := [str(r["m_"]) for r in missing.orderBy("m_").limit(named).collect()]:
+        raise UnknownCodes(f"{missing.count()} codes without an account: {', '.join(first)}")
+    return rows.join(known, F.col(code) == F.col("code_")).drop("code_")
+
+
 def match_accounts(candidates: DataFrame, accounts: DataFrame) -> DataFrame:
     """Each candidate with its account by upper-cased code, ``account_name`` and ``account_statement`` null if unknown."""
     known = accounts.select(F.upper("code").alias("code_"), F.col("name").alias("account_name"), F.col("statement_type").alias("account_statement"))
@@ -56,6 +72,10 @@ def by_statement(candidates: DataFrame) -> DataFrame:
     return got.withColumn("statement_ord", ordinal("statement_type", STATEMENTS))
 
 
+# What is noted of a candidate that goes back.
+RETURNED = "Returned to pending for review."
+
+
 def review(candidates: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     """Candidates after review, with ``outcome``: applied, or why not.
 
@@ -70,7 +90,7 @@ def review(candidates: DataFrame, decisions: DataFrame, now: Column) -> DataFram
     return got.withColumns({
         "status": F.when(on, F.col("decision")).otherwise(F.col("status")),
         "canonical_code": F.when(on, account).otherwise(F.col("canonical_code")),
-        "review_note": F.when(on, F.coalesce("note", F.when(back, F.lit("Returned to pending for review.")))).otherwise(F.col("review_note")),
+        "review_note": F.when(on, F.coalesce("note", F.when(back, F.lit(RETURNED)))).otherwise(F.col("review_note")),
         "reviewed_at": F.when(on, F.when(~back, now)).otherwise(F.col("reviewed_at")),
     }).drop("decision", "new_account", "note")
 
@@ -98,29 +118,69 @@ def safe_groups(accepted: DataFrame, keys: tuple[str, ...] = ("run_id", "code"))
     return got.select(*keys, F.col("n").alias("n_candidates"), safe.alias("is_safe"))
 
 
-def commit_entries(accepted: DataFrame) -> DataFrame:
+def usable(accepted: DataFrame) -> DataFrame:
+    """Accepted candidates that can be committed: those with an account and a number."""
+    return accepted.where(F.col("code").isNotNull() & F.col("numeric_value").isNotNull())
+
+
+def commit_entries(accepted: DataFrame, accounts: DataFrame, runs: DataFrame) -> DataFrame:
     """One entry for each run and account from accepted candidates with an account and a number.
 
     Equal scales keep their scale and values are added; else values are scaled first. A page stays only if
-    it is the only one. Provenance lists the components in order of ``ord``.
+    it is the only one. ``raw_text`` lists the components in order of ``ord``, or else is the first one's source text or value. An
+    entry of several is labelled by its account's name. The currency is the first candidate's, or else the run's or its company's.
+    ``accounts``: code, name; ``runs``: run_id, currency, company_currency.
     """
     scale = first_nonzero("scale", F.lit(1))
     line = F.concat(F.col("reported_label"), F.lit(": "), F.col("raw_value"), F.when(F.coalesce("source_page", F.lit(0)) != 0, F.concat(F.lit(" (page "), F.col("source_page").cast("string"), F.lit(")"))).otherwise(""))
-    rows = accepted.where(F.col("code").isNotNull() & F.col("numeric_value").isNotNull())
-    got = rows.groupBy("run_id", "code").agg(
+    first = F.min(F.struct("ord", "reported_label", "raw_value", "source_text", "currency"))
+    got = usable(accepted).groupBy("run_id", "code").agg(
         F.count(F.lit(1)).alias("n"), F.count("scale").alias("scales"), F.min("scale").alias("lo"), F.max("scale").alias("hi"), F.sum("numeric_value").alias("plain"), F.sum(F.col("numeric_value") * scale.cast("decimal(18,0)")).alias("scaled"),
         F.countDistinct("source_page").alias("pages"), F.max("source_page").alias("page"), F.min(F.least(F.coalesce("extraction_confidence", F.lit(0.0)), F.coalesce("mapping_confidence", F.lit(0.0)))).alias("confidence"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), " | ").alias("provenance"),
-        F.min_by("reported_label", "ord").alias("first_label"), F.min_by("currency", "ord").alias("currency"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), " | ").alias("provenance"), first.alias("first"),
     )
+    named = accounts.select(F.col("code").alias("code_"), F.col("name").alias("account_name"))
+    terms = runs.select(F.col("run_id").alias("run_"), F.col("currency").alias("run_currency"), "company_currency")
+    got = got.join(named, F.col("code") == F.col("code_"), "left").join(terms, F.col("run_id") == F.col("run_"), "left")
     same = (F.col("lo") == F.col("hi")) & (F.col("scales") == F.col("n"))  # a missing scale differs from a given one
+    many = F.concat(F.coalesce("account_name", "code"), F.lit(" — aggregated from "), F.col("n").cast("string"), F.lit(" reviewed components"))
     return got.select(
         "run_id", "code", "n", F.when(same, F.col("plain")).otherwise(F.col("scaled")).cast("double").alias("value"), F.when(same, F.col("lo")).otherwise(1).alias("scale"), F.col("scaled").cast("double").alias("scaled_value"),
-        F.when(F.col("pages") == 1, F.col("page")).alias("source_page"), "confidence", "provenance",
-        F.when(F.col("n") > 1, F.concat(F.lit("aggregated from "), F.col("n").cast("string"), F.lit(" reviewed components"))).otherwise(F.col("first_label")).alias("reported_label"), "currency",
+        F.when(F.col("pages") == 1, F.col("page")).alias("source_page"), "confidence", first_given("provenance", F.col("first.source_text"), F.col("first.raw_value")).alias("raw_text"),
+        F.when(F.col("n") > 1, many).otherwise(F.col("first.reported_label")).alias("reported_label"), first_given(F.col("first.currency"), "run_currency", "company_currency").alias("currency"),
     )
 
 
+def commit_statements(accepted: DataFrame, accounts: DataFrame, runs: DataFrame) -> DataFrame:
+    """The statements that a commit needs, one for each run and type of account, with the run's currency, or else its company's, and unit."""
+    types = accounts.select("code", "statement_type")
+    got = usable(accepted).select("run_id", "code").join(types, "code").select("run_id", "statement_type").distinct().join(runs, "run_id")
+    return got.select("run_id", "statement_type", first_given("currency", "company_currency").alias("currency"), first_nonzero("unit_scale", F.lit(1)).alias("unit_scale"))
+
+
+def commit_candidates(accepted: DataFrame) -> DataFrame:
+    """Candidates as a commit leaves them: those it used are COMMITTED, with a note where several make one entry; others stay.
+
+    Components are counted by run and account first and joined back, so a large group is never gathered.
+    """
+    used = F.col("code").isNotNull() & F.col("numeric_value").isNotNull()
+    sizes = usable(accepted).groupBy("run_id", "code").agg(F.count(F.lit(1)).alias("components_"))
+    got = accepted.join(sizes, ["run_id", "code"], "left")
+    note = F.concat(F.lit("Aggregated into canonical "), "code", F.lit(" with reviewed "), F.col("components_").cast("string"), F.lit(" components."))
+    return got.withColumns({"status": F.when(used, "COMMITTED").otherwise(F.col("status")), "review_note": F.when(used & (F.col("components_") > 1), note).otherwise(F.col("review_note"))}).drop("components_")
+
+
+# What the audit row of a commit says of it.
+COMMITTED = (" reviewed PDF candidates committed into ", " canonical financial facts after validation. Safe aggregation supports AR/AP counterparties and DEBT_ISSUED/DEBT_REPAID maturity components; provenance is preserved in FinancialEntry.rawText.")
+
+
+def commit_audit(accepted: DataFrame) -> DataFrame:
+    """One audit row for each committed run."""
+    got = usable(accepted).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("code").alias("facts"))
+    note = F.concat(F.col("n").cast("string"), F.lit(COMMITTED[0]), F.col("facts").cast("string"), F.lit(COMMITTED[1]))
+    return got.select("run_id", F.lit("PDF_AI_COMMIT").alias("action"), F.lit("web-user").alias("actor"), F.lit("ExtractionRun").alias("entity"), F.col("run_id").cast("string").alias("entity_id"), note.alias("note"))
+
+
 def commit_verdicts(candidates: DataFrame, runs: DataFrame, reports: DataFrame) -> DataFrame:
     """For each run the first reason that keeps it from being committed, or READY.
 
@@ -143,10 +203,28 @@ def commit_verdicts(candidates: DataFrame, runs: DataFrame, reports: DataFrame)
     return got.select("run_id", verdict.alias("verdict"))
 
 
+# The chunk that stands for an answer without any, and signs of a chunk's text that are kept.
+WHOLE_ANSWER = ("Financial Statements", "SECTION", "AI extraction result")
+CHUNK_TEXT = 12_000
+
+
+def staged_chunks(extractions: DataFrame) -> DataFrame:
+    """Chunks of extraction answers, numbered from 1, texts cut and hashed whole; one synthetic chunk for an answer without any."""
+    section, kind, text = map(F.lit, WHOLE_ANSWER)
+    none = F.lit(None).cast("int")
+    alone = F.array(F.struct(section.alias("section"), kind.alias("chunkType"), none.alias("pageStart"), none.alias("pageEnd"), text.alias("textSummary")))
+    chunks = F.col("extraction")["chunks"]
+    rows = extractions.where("valid").select("run_id", F.posexplode(F.when(F.size(chunks) > 0, chunks).otherwise(alone)).alias("pos", "c"))
+    return rows.select("run_id", (F.col("pos") + 1).alias("ordinal"), F.col("c.chunkType").alias("chunk_type"), F.col("c.pageStart").alias("page_start"), F.col("c.pageEnd").alias("page_end"), F.col("c.section").alias("section"), F.substring("c.textSummary", 1, CHUNK_TEXT).alias("text"), F.sha2(F.col("c.textSummary").cast("binary"), 256).alias("text_hash"))
+
+
 def staged(extractions: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Candidates of extraction answers: numbers only, defaults filled in, texts cut, confidences clamped."""
+    """Candidates of extraction answers: numbers only, defaults filled in, texts cut, confidences clamped.
+
+    A currency that neither the candidate nor the answer gives is the company's, ``company_currency`` of the rows.
+    """
     e = F.col("extraction")
-    rows = extractions.where("valid").select("run_id", e["detectedCurrency"].alias("cur_"), e["detectedUnitScale"].alias("scale_"), e["chunks"].alias("chunks_"), F.posexplode(e["candidates"]).alias("pos", "c"))
+    rows = extractions.where("valid").select("run_id", "company_currency", e["detectedCurrency"].alias("cur_"), e["detectedUnitScale"].alias("scale_"), e["chunks"].alias("chunks_"), F.posexplode(e["candidates"]).alias("pos", "c"))
     value = F.col("c.numericValue")
     rows = rows.where(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))).withColumn("canonical_code", F.col("c.canonicalCode"))
     got = match_accounts(rows, accounts)
@@ -157,7 +235,7 @@ def staged(extractions: DataFrame, accounts: DataFrame) -> DataFrame:
     return got.select(
         "run_id", F.col("pos").alias("ord"), F.col("c.statementType").alias("statement_type"), F.substring("c.reportedLabel", 1, 500).alias("reported_label"),
         staged_label("c.reportedLabel").alias("normalized_label"), F.substring("c.rawValue", 1, 250).alias("raw_value"), value.cast("decimal(28,6)").alias("numeric_value"),
-        F.coalesce(F.nullif("c.currency", F.lit("")), F.nullif("cur_", F.lit(""))).alias("currency"), first_nonzero("c.scale", "scale_", F.lit(1)).alias("scale"), page.alias("source_page"),
+        first_given(F.col("c.currency"), "cur_", "company_currency").alias("currency"), first_nonzero("c.scale", "scale_", F.lit(1)).alias("scale"), page.alias("source_page"),
         F.substring("c.sourceText", 1, 2000).alias("source_text"), at.alias("chunk_ordinal"), F.when(known, F.upper("canonical_code")).alias("code"), clamp("c.extractionConfidence").alias("extraction_confidence"),
         F.when(known, clamp("c.mappingConfidence")).otherwise(0.0).alias("mapping_confidence"), F.when(known, "AI").alias("mapping_method"), F.lit("PENDING").alias("status"),
     )

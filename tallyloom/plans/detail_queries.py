@@ -14,6 +14,7 @@ from tallyloom.plans.queue_queries import view
 from tallyloom.plans.registry import query, values
 from tallyloom.plans.report_queries import ACCOUNTS, STATEMENT_ORD
 from tallyloom.sources import schemas
+from tallyloom.sources.readers import table
 
 COMPANY = "SELECT c_custkey AS company_id, 'T' || c_custkey AS ticker, c_name AS company_name, c_custkey % 5 <> 0 AS is_active FROM customer"
 REPORT = "SELECT o_orderkey AS report_id, o_custkey AS company_id, CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderkey % 4 WHEN 0 THEN 'Q1' WHEN 1 THEN 'H1' WHEN 2 THEN 'Q3' ELSE 'FY' END AS period FROM orders"
@@ -36,9 +37,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "lineitem", ENTRY)
 
 
-@query("SELECT 'ok' AS status")
+@query("SELECT 'ok' AS status, count(*) AS n_tables FROM (SELECT 1 FROM region HAVING count(*) > 0 UNION ALL SELECT 1 FROM nation HAVING count(*) > 0)")
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(F.lit("ok").alias("status"))
+    """That the store answers: its smallest tables can be read and aren't empty."""
+    rows = table(spark, sf_dir, "region").select(F.lit("region").alias("t")).unionByName(table(spark, sf_dir, "nation").select(F.lit("nation").alias("t")))
+    return rows.agg(F.countDistinct("t").alias("n_tables")).select(F.lit("ok").alias("status"), "n_tables")
 
 
 @query(f"SELECT ticker, company_name FROM ({COMPANY}) WHERE is_active")
@@ -46,11 +49,20 @@ def company_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.active(companies(spark, sf_dir), "ticker", "company_name")
 
 
-@query(f"SELECT code, name, statement_type FROM {ACCOUNTS} WHERE sort_order % 30 <> 10 AND sort_order % 40 <> 0 ORDER BY {STATEMENT_ORD}, sort_order")
+#: Parts as accounts, of which some are closed and some calculated.
+MASTER = "SELECT p_partkey AS account_id, p_brand AS code, p_name AS name, CASE p_partkey % 4 WHEN 0 THEN 'OTHER' WHEN 1 THEN 'CASH_FLOW' WHEN 2 THEN 'BALANCE_SHEET' ELSE 'INCOME_STATEMENT' END AS statement_type, CAST(p_size AS INTEGER) AS sort_order, p_partkey % 5 <> 0 AS is_active, p_partkey % 7 = 0 AS is_calculated FROM part"
+
+
+@query(f"SELECT account_id, code, name, statement_type FROM ({MASTER}) WHERE is_active AND NOT is_calculated ORDER BY {STATEMENT_ORD}, sort_order")
 def account_extractable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active accounts that aren't calculated; which ones those are is a fixture."""
-    got = schemas.accounts(spark).withColumns({"is_active": F.col("sort_order") % 30 != 10, "is_calculated": F.col("sort_order") % 40 == 0})
-    return details.extractable(got).select("code", "name", "statement_type")
+    """Active accounts that aren't calculated."""
+    return details.extractable(view(spark, sf_dir, "part", MASTER)).select("account_id", "code", "name", "statement_type")
+
+
+@query(f"SELECT account_id, statement_type, sort_order, CAST(row_number() OVER (PARTITION BY statement_type ORDER BY sort_order, name, account_id) AS INTEGER) AS place FROM ({MASTER}) WHERE is_active")
+def account_master_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active accounts in order of statement, sort order and name, with their place in the statement."""
+    return details.account_master(view(spark, sf_dir, "part", MASTER)).select("account_id", "statement_type", "sort_order", "place")
 
 
 MAPPING = "SELECT p_partkey AS mapping_id, p_name || ' ' || p_partkey AS source_label, CASE p_partkey % 4 WHEN 0 THEN 'AR' WHEN 1 THEN 'AP' WHEN 2 THEN 'REV' ELSE 'NOT_KNOWN' END AS code FROM part"
@@ -132,18 +144,16 @@ def statement_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return details.with_statement(rows, accounts, details.statements_of(rows, accounts)).select("report_id", "ord", "code", "statement_id")
 
 
-TERMS = ["  Profit ", "CASH", "", "nothing like it", "nama", "flow stated", "alias 2", "held"]
+TERMS = ["  Steel ", "BRAND#1", "", "nothing like it", "nama", "size stated", "alias 2", "held"]
+SIX = f"SELECT *, CASE WHEN sort_order % 20 <> 0 THEN 'Nama ' || name END AS display_name, 'size stated' AS description, CASE WHEN sort_order % 30 = 0 THEN 'What is held' END AS definition FROM ({MASTER})"
 
 
-@query(f"""SELECT q.term, a.code FROM {values([(t,) for t in TERMS], 'term').replace('AS t(', 'AS q(')}, {ACCOUNTS.replace('AS t(', 'AS a(')}
-  WHERE contains(lower(a.code || ' ' || a.name || ' ' || CASE WHEN sort_order % 20 = 0 THEN '' ELSE 'Nama ' || a.name END || ' ' || value_nature || ' stated' || ' ' || CASE WHEN sort_order % 30 = 0 THEN 'What is held' ELSE '' END || ' ' || lower(a.code) || ' alias ' || sort_order), lower(trim(q.term)))""")
+@query(f"""SELECT q.term, a.account_id FROM {values([(t,) for t in TERMS], 'term').replace('AS t(', 'AS q(')}, ({SIX}) a
+  WHERE contains(lower(code || ' ' || name || ' ' || coalesce(display_name, '') || ' ' || description || ' ' || coalesce(definition, '') || ' ' || lower(code) || ' alias ' || sort_order), lower(trim(q.term)))""")
 def dictionary_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search in all six texts of an account; the texts beyond code and name are a fixture."""
-    got = schemas.accounts(spark).withColumns({
-        "display_name": F.when(F.col("sort_order") % 20 != 0, F.concat(F.lit("Nama "), "name")), "description": F.concat("value_nature", F.lit(" stated")),
-        "definition": F.when(F.col("sort_order") % 30 == 0, "What is held"), "aliases": F.array(F.lower("code"), F.concat(F.lit("alias "), F.col("sort_order").cast("string"))),
-    })
-    return details.searched(got, TERMS).select("term", "code")
+    """Search in all six texts of an account."""
+    got = view(spark, sf_dir, "part", SIX).withColumn("aliases", F.array(F.lower("code"), F.concat(F.lit("alias "), F.col("sort_order").cast("string"))))
+    return details.searched(got, TERMS).select("term", "account_id")
 
 
 LIST = """CASE event_id % 3 WHEN 0 THEN '["' || event_type || '", ' || event_id || ', null, {"k": 1}, "7", ["x"], true]' WHEN 1 THEN '[]' ELSE '{"a": "b"}' END"""

@@ -58,15 +58,18 @@ def etag_unquote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.unquoted(raw).alias("etag"))
 
 
-SEARCHES = ["  Profit ", "cash", "", "nothing like it", "cost_"]
+#: Parts stand for accounts: their brand as code.
+PART_ACCOUNT = "SELECT p_partkey AS account_id, upper(replace(p_brand, '#', '_')) || '_' || p_partkey AS code, p_name AS name FROM part"
+SEARCHES = ["  Brand_1 ", "STEEL", "", "nothing like it", "_7"]
 
 
-@query(f"SELECT q.term, a.code FROM {values([(s,) for s in SEARCHES], 'term').replace('AS t(', 'AS q(')}, {ACCOUNTS.replace('AS t(', 'AS a(')} WHERE contains(lower(a.code || ' ' || a.name), lower(trim(q.term)))")
+@query(f"SELECT q.term, a.account_id FROM {values([(s,) for s in SEARCHES], 'term').replace('AS t(', 'AS q(')}, ({PART_ACCOUNT}) a WHERE contains(lower(a.code || ' ' || a.name), lower(trim(q.term)))")
 def dictionary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts that hold each search term in their texts; a blank one finds all."""
     hay = F.lower(F.concat_ws(" ", "code", "name"))
     terms = F.array(*map(F.lit, SEARCHES))
-    return schemas.accounts(spark).select("code", F.explode(F.filter(terms, lambda t: hay.contains(F.lower(F.trim(t))))).alias("term"))
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS account_id", "upper(replace(p_brand, '#', '_')) || '_' || p_partkey AS code", "p_name AS name")
+    return rows.select("account_id", F.explode(F.filter(terms, lambda t: hay.contains(F.lower(F.trim(t))))).alias("term"))
 
 
 @query("SELECT sha256(text) AS checksum, min(doc_id) AS first_id, count(*) AS n_copies FROM documents GROUP BY 1")
@@ -132,23 +135,26 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max(F.length("chunk")).alias("longest"))
 
 
-FILES = [(1, "a.PDF", "application/pdf", 10), (2, "a.pdf", "", 12582912), (3, "a.pdf", None, 12582913), (4, "a.txt", "application/pdf", 5), (5, "b.pdf", "text/html", 5), (6, "c.pdf", "application/octet-stream", 0), (7, ".pdf", "application/pdf", 1)]
+#: Documents as uploads, some of them beyond the largest size.
+FILE = "SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'a.PDF' WHEN 1 THEN '.pdf' WHEN 2 THEN 'b.txt' ELSE 'c' || doc_id || '.pdf' END AS name, CASE doc_id % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN '' WHEN 2 THEN 'text/html' WHEN 3 THEN 'application/octet-stream' END AS mime, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars * 3000 END AS size FROM documents"
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, CASE WHEN NOT (lower(name) LIKE '%.pdf' AND coalesce(mime, '') IN ('', 'application/pdf', 'application/octet-stream')) THEN 'NOT_PDF' WHEN size <= 0 THEN 'EMPTY' WHEN size > 12582912 THEN 'TOO_LARGE' END AS error FROM {values(FILES, 'id, name, mime, size')}")
+@query(f"SELECT id, CASE WHEN NOT (lower(name) LIKE '%.pdf' AND coalesce(mime, '') IN ('', 'application/pdf', 'application/octet-stream')) THEN 'NOT_PDF' WHEN size <= 0 THEN 'EMPTY' WHEN size > 12582912 THEN 'TOO_LARGE' END AS error FROM ({FILE})")
 def pdf_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(FILES, "id long, name string, mime string, size long")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("tallyloom_documents")
+    rows = spark.sql(FILE.replace("FROM documents", "FROM tallyloom_documents"))
     return rows.select("id", documents.upload_error(F.col("name"), F.col("mime"), F.col("size")).alias("error"))
 
 
 STATES = ["UPLOADED", "PROCESSING", "PENDING_REVIEW", "READY_TO_COMMIT", "COMMITTED", "FAILED", "PENDING", "ACCEPTED_ALL", "NEED REVIEW", "OTHER"]
+STATE = f"CASE o_orderkey % {len(STATES)} " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STATES)) + " END"
 
 
-@query(f"""SELECT status, CASE WHEN status = 'PENDING_REVIEW' THEN 'NEED REVIEW' ELSE replace(status, '_', ' ') END AS friendly, CASE WHEN status = 'COMMITTED' THEN 'View Review Audit' WHEN status = 'READY_TO_COMMIT' THEN 'Final Review' WHEN status = 'FAILED' THEN 'Error Details' WHEN status IN ('PROCESSING', 'UPLOADED') THEN 'AI Processing…' ELSE 'Continue Review' END AS action,
-  CASE WHEN status IN ('NEED REVIEW') THEN 'NEED_REVIEW' WHEN status = 'READY_TO_COMMIT' THEN 'READY_TO_COMMIT' WHEN status = 'COMMITTED' THEN 'COMMITTED' WHEN status = 'FAILED' THEN 'FAILED' WHEN status LIKE 'PENDING%' THEN 'PENDING' WHEN status LIKE 'ACCEPTED%' THEN 'ACCEPTED' ELSE 'NEUTRAL' END AS style FROM {values([(s,) for s in STATES], 'status')}""")
+@query(f"""SELECT id, CASE WHEN status = 'PENDING_REVIEW' THEN 'NEED REVIEW' ELSE replace(status, '_', ' ') END AS friendly, CASE WHEN status = 'COMMITTED' THEN 'View Review Audit' WHEN status = 'READY_TO_COMMIT' THEN 'Final Review' WHEN status = 'FAILED' THEN 'Error Details' WHEN status IN ('PROCESSING', 'UPLOADED') THEN 'AI Processing…' ELSE 'Continue Review' END AS action,
+  CASE WHEN status IN ('NEED REVIEW') THEN 'NEED_REVIEW' WHEN status = 'READY_TO_COMMIT' THEN 'READY_TO_COMMIT' WHEN status = 'COMMITTED' THEN 'COMMITTED' WHEN status = 'FAILED' THEN 'FAILED' WHEN status LIKE 'PENDING%' THEN 'PENDING' WHEN status LIKE 'ACCEPTED%' THEN 'ACCEPTED' ELSE 'NEUTRAL' END AS style FROM (SELECT o_orderkey AS id, {STATE} AS status FROM orders)""")
 def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in STATES], "status string")
-    return rows.select("status", S.friendly_status("status").alias("friendly"), S.action_label("status").alias("action"), S.badge_style("status").alias("style"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(STATE).alias("status"))
+    return rows.select("id", S.friendly_status("status").alias("friendly"), S.action_label("status").alias("action"), S.badge_style("status").alias("style"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN s IN ('queued', 'in_progress') THEN 'PROCESSING' ELSE upper(s) END AS state, coalesce(nullif(e, ''), nullif(r, ''), 'background response ' || s) AS detail,

@@ -199,12 +199,16 @@ def job_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("user_id").alias("job_id"), "event_id", jobs.duration_ms(F.col("before"), F.col("ts")).cast("double").alias("duration_ms"))
 
 
-@query("""SELECT lease, heartbeat, grace, attempts, n_backoff, concat_ws(',', CASE WHEN heartbeat >= lease THEN 'HEARTBEAT_NOT_SHORTER' END, CASE WHEN n_backoff < greatest(0, attempts - 1) THEN 'BACKOFF_TOO_SHORT' END) AS errors
-  FROM (VALUES (120), (30)) a(lease), (VALUES (30), (10)) b(heartbeat), (VALUES (30)) c(grace), (VALUES (1), (3), (5)) d(attempts), (VALUES (1), (3)) e(n_backoff)""")
+#: Terms of leases, which events stand for; each of the seven rules is broken by some.
+TERMS = """SELECT event_id AS id, CAST(event_id % 5 * 40 - 20 AS INTEGER) AS lease, CAST(user_id % 4 * 30 - 10 AS INTEGER) AS heartbeat, CAST(event_id % 7 * 10 - 10 AS INTEGER) AS grace, CAST(event_id % 6 - 1 AS INTEGER) AS attempts, CAST(user_id % 4 AS INTEGER) AS n_backoff, CAST(event_id % 8 * 60 AS INTEGER) AS last_backoff FROM events"""
+
+
+@query(f"""SELECT id, concat_ws(',', CASE WHEN lease <= 0 THEN 'LEASE' END, CASE WHEN heartbeat <= 0 THEN 'HEARTBEAT' END, CASE WHEN heartbeat >= lease THEN 'HEARTBEAT_NOT_SHORTER' END, CASE WHEN grace < 0 THEN 'GRACE' END, CASE WHEN attempts <= 0 THEN 'ATTEMPTS' END,
+  CASE WHEN n_backoff < greatest(0, attempts - 1) THEN 'BACKOFF_TOO_SHORT' END, CASE WHEN n_backoff > 0 AND last_backoff = 0 THEN 'BACKOFF' END) AS errors FROM ({TERMS})""")
 def lease_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b, 30, d, e, [30, 120, 600][:e]) for a in (120, 30) for b in (30, 10) for d in (1, 3, 5) for e in (1, 3)]
-    got = jobs.policy_errors(spark.createDataFrame(rows, "lease int, heartbeat int, grace int, attempts int, n_backoff int, backoff array<int>"))
-    return got.select("lease", "heartbeat", "grace", "attempts", "n_backoff", F.array_join("errors", ",").alias("errors"))
+    rows = view(spark, sf_dir, "events", TERMS)
+    waits = F.expr("transform(if(n_backoff > 0, sequence(1, n_backoff), array()), i -> if(i = n_backoff, last_backoff, 30 * i))")
+    return jobs.policy_errors(rows.withColumn("backoff", waits)).select("id", F.array_join("errors", ",").alias("errors"))
 
 
 # -- streams, run over what is there

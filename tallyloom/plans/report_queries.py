@@ -165,21 +165,25 @@ def period_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide(spark, sf_dir).select(*facts.KEYS, F.date_format(S.period_end("year", "period"), "yyyy-MM-dd").alias("period_end"))
 
 
+#: The account that a line is booked on.
+USED = "CASE l_partkey % 6 WHEN 0 THEN 'CASH' WHEN 1 THEN 'REV' WHEN 2 THEN 'OCF' WHEN 3 THEN 'AR' WHEN 4 THEN 'COGS' ELSE 'NONE' END"
 ACCOUNTS = values(schemas.ACCOUNTS, "code, name, statement_type, value_nature, sort_order")
 STATEMENT_ORD = "CASE statement_type WHEN 'INCOME_STATEMENT' THEN 1 WHEN 'BALANCE_SHEET' THEN 2 WHEN 'CASH_FLOW' THEN 3 ELSE 4 END"
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY {STATEMENT_ORD}, sort_order, name) AS INTEGER) AS pos, code, name, statement_type, value_nature, CAST(sort_order AS INTEGER) AS sort_order FROM {ACCOUNTS}")
+@query(f"SELECT code, name, statement_type, value_nature, CAST(sort_order AS INTEGER) AS sort_order, n_used FROM (SELECT * FROM {ACCOUNTS}) JOIN (SELECT {USED} AS code, count(*) AS n_used FROM lineitem GROUP BY 1) USING (code)")
 def account_master_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    """Accounts that lines are booked on, in order of statement, sort order and name."""
+    used = table(spark, sf_dir, "lineitem").groupBy(F.expr(USED).alias("code")).agg(F.count(F.lit(1)).alias("n_used"))
+    got = schemas.accounts(spark).join(used, "code")
+    return got.orderBy(S.ordinal("statement_type", schemas.STATEMENTS), "sort_order", "name").select("code", "name", "statement_type", "value_nature", F.col("sort_order"), "n_used")
 
-    w = Window.orderBy(S.ordinal("statement_type", schemas.STATEMENTS), "sort_order", "name")
-    return schemas.accounts(spark).select(F.row_number().over(w).alias("pos"), "code", "name", "statement_type", "value_nature", "sort_order")
 
-
-@query(f"SELECT statement_type, CAST(coalesce(max(sort_order), 0) + 10 AS INTEGER) AS next_sort FROM {ACCOUNTS} GROUP BY statement_type")
+@query("SELECT statement_type, CAST(coalesce(max(sort_order), 0) + 10 AS INTEGER) AS next_sort FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'OTHER' WHEN 1 THEN 'CASH_FLOW' WHEN 2 THEN 'BALANCE_SHEET' ELSE 'INCOME_STATEMENT' END AS statement_type, CASE WHEN p_partkey % 4 <> 0 THEN p_size * 10 + p_partkey END AS sort_order FROM part) GROUP BY statement_type")
 def account_next_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutations.next_sort(schemas.accounts(spark), "statement_type", "sort_order")
+    """The sort order that the next account of each statement gets; parts stand for accounts."""
+    rows = table(spark, sf_dir, "part").select(F.expr("CASE p_partkey % 4 WHEN 0 THEN 'OTHER' WHEN 1 THEN 'CASH_FLOW' WHEN 2 THEN 'BALANCE_SHEET' ELSE 'INCOME_STATEMENT' END").alias("statement_type"), F.expr("CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_size * 10 + p_partkey AS INT) END").alias("sort_order"))
+    return mutations.next_sort(rows, "statement_type", "sort_order").withColumn("next_sort", F.col("next_sort").cast("int"))
 
 
 @query(LONG + f"SELECT code, count(*) AS n_facts FROM f WHERE code NOT IN (SELECT code FROM {ACCOUNTS}) GROUP BY code UNION ALL SELECT code, 0 FROM {ACCOUNTS} WHERE code NOT IN (SELECT code FROM f)")
@@ -210,12 +214,17 @@ def dq_cash_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cash_flow_gap(got).select(*facts.KEYS, "cash_gap")
 
 
-@query(f"""SELECT CAST(year AS INTEGER) AS year, net_profit * 1.0::DOUBLE / NULLIF(revenue, 0) AS net_margin, ocf * 1.0::DOUBLE / NULLIF(net_profit, 0) AS ocf_to_net_profit, CAST(debt - lag(debt) OVER (ORDER BY year) AS DOUBLE) AS debt_change FROM {values(schemas.HISTORY, 'year, revenue, net_profit, ocf, debt')}""")
-def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+TREND = """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS net_profit, sum(CASE WHEN o_orderstatus = 'O' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS ocf, count(*) AS debt FROM orders GROUP BY 1"""
 
-    h = schemas.history(spark)
-    return h.select("year", S.ratio(F.col("net_profit").cast("double"), "revenue").alias("net_margin"), S.ratio(F.col("ocf").cast("double"), "net_profit").alias("ocf_to_net_profit"), (F.col("debt") - F.lag("debt").over(Window.orderBy("year"))).cast("double").alias("debt_change"))
+
+@query(f"""SELECT year, CAST(net_profit AS DOUBLE) / NULLIF(CAST(revenue AS DOUBLE), 0) AS net_margin, CAST(ocf AS DOUBLE) / NULLIF(CAST(net_profit AS DOUBLE), 0) AS ocf_to_net_profit, CAST(debt - lag(debt) OVER (ORDER BY year) AS DOUBLE) AS debt_change FROM ({TREND})""")
+def history_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of each year and the change against the year before; orders' years stand for a company's."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("tallyloom_orders")
+    h = spark.sql(TREND.replace("FROM orders", "FROM tallyloom_orders"))
+    before = h.select((F.col("year") + 1).alias("year"), F.col("debt").alias("before"), F.lit(True).alias("known"))
+    d = lambda c: F.col(c).cast("double")
+    return h.join(before, "year", "left").select("year", S.ratio(d("net_profit"), d("revenue")).alias("net_margin"), S.ratio(d("ocf"), d("net_profit")).alias("ocf_to_net_profit"), (F.col("debt") - F.col("before")).cast("double").alias("debt_change"))
 
 
 def shown(x: str, unit: str) -> str:

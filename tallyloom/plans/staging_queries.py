@@ -17,12 +17,14 @@ KIND = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'INCOME_STATEMENT' WHEN
 #: Lines of an order as extracted candidates: an order is a run; some lines lack a code or number.
 CODE = "CASE l_orderkey % 3 WHEN 0 THEN 'AR' WHEN 1 THEN 'DEBT_ISSUED' ELSE CASE l_linenumber % 4 WHEN 0 THEN 'REV' WHEN 1 THEN 'TOTAL_ASSETS' WHEN 2 THEN 'TOTAL_LIAB' END END"
 LABEL = "CASE l_partkey % 5 WHEN 0 THEN 'Piutang Pihak Ketiga' WHEN 1 THEN 'Piutang pihak  berelasi' WHEN 2 THEN 'Short-term bank loans' WHEN 3 THEN 'Pinjaman jangka panjang' ELSE 'Other balances' END"
-LINES = f"""SELECT l_orderkey AS run_id, CAST(l_linenumber AS INTEGER) AS ord, {CODE} AS code, {LABEL} AS reported_label, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS raw_value,
-  CASE WHEN l_quantity <> 50 THEN CAST(l_quantity AS DECIMAL(28,6)) END AS numeric_value, CAST(CASE l_suppkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS scale,
+LINES = f"""SELECT l_orderkey AS run_id, CAST(l_linenumber AS INTEGER) AS ord, {CODE} AS code, {LABEL} AS reported_label, CASE WHEN l_partkey % 7 <> 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS raw_value,
+  CASE WHEN l_quantity <> 50 THEN CAST(l_quantity AS DECIMAL(28,6)) END AS numeric_value, CAST(CASE WHEN l_partkey % 3 <> 0 THEN CASE WHEN l_orderkey % 4 = 0 THEN 1000 ELSE CASE l_suppkey % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1 ELSE 0 END END END AS INTEGER) AS scale,
   CAST(CASE WHEN l_returnflag <> 'A' THEN 1 + l_partkey % 2 END AS INTEGER) AS source_page, 1 - l_discount AS extraction_confidence, CASE WHEN l_tax > 0 THEN 1 - l_tax END AS mapping_confidence,
-  CASE l_returnflag WHEN 'N' THEN 'ACCEPTED' WHEN 'R' THEN 'REJECTED' ELSE CASE WHEN l_orderkey % 10 = 0 THEN 'PENDING' ELSE 'ACCEPTED' END END AS status, 'IDR' AS currency FROM lineitem"""
+  CASE l_returnflag WHEN 'N' THEN 'ACCEPTED' WHEN 'R' THEN 'REJECTED' ELSE CASE WHEN l_orderkey % 10 = 0 THEN 'PENDING' ELSE 'ACCEPTED' END END AS status, CASE l_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'USD' WHEN 2 THEN 'IDR' END AS currency, CASE WHEN l_partkey % 2 = 0 THEN 'text of ' || l_partkey END AS source_text FROM lineitem"""
 #: One row a line number: the test tables may repeat one within an order.
 CANDIDATES = f"WITH c0 AS ({LINES}), c AS (SELECT * EXCLUDE (ord, numeric_value, raw_value), ord, sum(numeric_value) AS numeric_value, min(raw_value) AS raw_value FROM c0 GROUP BY ALL)"
+#: Orders as runs.
+RUN_TERMS = "SELECT o_orderkey AS run_id, CASE o_orderkey % 3 WHEN 0 THEN 'SGD' WHEN 1 THEN '' END AS currency, CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'IDR' END AS company_currency, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1000 WHEN 1 THEN 0 END AS INTEGER) AS unit_scale FROM orders"
 
 
 def spark_sql(text: str) -> str:
@@ -89,14 +91,47 @@ def issuer_match_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 AMOUNT = "numeric_value * coalesce(nullif(scale, 0), 1)"
 
 
-@query(CANDIDATES + f""", g AS (SELECT run_id, code, count(*) AS n, min(scale) AS lo, max(scale) AS hi, sum(numeric_value) AS plain, sum({AMOUNT}) AS scaled, count(DISTINCT source_page) AS pages, max(source_page) AS page,
-    min(least(coalesce(extraction_confidence, 0), coalesce(mapping_confidence, 0))) AS confidence,
-    string_agg(reported_label || ': ' || raw_value || CASE WHEN coalesce(source_page, 0) <> 0 THEN ' (page ' || source_page || ')' ELSE '' END, ' | ' ORDER BY ord, reported_label || ': ' || raw_value || CASE WHEN coalesce(source_page, 0) <> 0 THEN ' (page ' || source_page || ')' ELSE '' END) AS provenance
-    FROM c WHERE status = 'ACCEPTED' AND code IS NOT NULL AND numeric_value IS NOT NULL GROUP BY run_id, code)
-  SELECT run_id, code, n, CAST(CASE WHEN lo = hi THEN plain ELSE scaled END AS DOUBLE) AS value, CASE WHEN lo = hi THEN lo ELSE 1 END AS scale, CAST(scaled AS DOUBLE) AS scaled_value, CAST(CASE WHEN pages = 1 THEN page END AS DOUBLE) AS source_page, confidence, provenance FROM g""")
+USABLE = "FROM c WHERE status = 'ACCEPTED' AND code IS NOT NULL AND numeric_value IS NOT NULL"
+LINE = "reported_label || ': ' || raw_value || CASE WHEN coalesce(source_page, 0) <> 0 THEN ' (page ' || source_page || ')' ELSE '' END"
+#: The first candidate of a group, by all that may tell them apart.
+FIRST = "arg_min({}, (ord, reported_label, raw_value IS NOT NULL, raw_value, source_text IS NOT NULL, source_text, currency IS NOT NULL, currency))"
+
+
+def run_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("tallyloom_orders")
+    return spark.sql(RUN_TERMS.replace("FROM orders", "FROM tallyloom_orders"))
+
+
+def accepted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).where("status = 'ACCEPTED'")
+
+
+@query(CANDIDATES + f""", r AS ({RUN_TERMS}), f AS (SELECT run_id, code, {FIRST.format("{'l': reported_label, 'r': raw_value, 's': source_text, 'c': currency}")} AS first, count(*) AS n, count(scale) AS scales, min(scale) AS lo, max(scale) AS hi, sum(numeric_value) AS plain, sum({AMOUNT}) AS scaled, count(DISTINCT source_page) AS pages, max(source_page) AS page,
+    min(least(coalesce(extraction_confidence, 0), coalesce(mapping_confidence, 0))) AS confidence, string_agg({LINE}, ' | ' ORDER BY ord, {LINE}) AS provenance {USABLE} GROUP BY run_id, code)
+  SELECT run_id, code, n, CAST(CASE WHEN lo = hi AND scales = n THEN plain ELSE scaled END AS DOUBLE) AS value, CASE WHEN lo = hi AND scales = n THEN lo ELSE 1 END AS scale, CAST(scaled AS DOUBLE) AS scaled_value, CAST(CASE WHEN pages = 1 THEN page END AS DOUBLE) AS source_page, confidence,
+    coalesce(nullif(provenance, ''), nullif(first.s, ''), nullif(first.r, '')) AS raw_text, CASE WHEN n > 1 THEN coalesce(a.name, code) || ' — aggregated from ' || n || ' reviewed components' ELSE first.l END AS reported_label, coalesce(nullif(first.c, ''), nullif(r.currency, ''), company_currency) AS currency
+  FROM f LEFT JOIN r USING (run_id) LEFT JOIN (SELECT code, name FROM {ACCOUNTS}) a USING (code)""")
 def commit_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    accepted = lines(spark, sf_dir).where("status = 'ACCEPTED'")
-    return staging.commit_entries(accepted).drop("reported_label", "currency").withColumn("source_page", F.col("source_page").cast("double"))
+    got = staging.commit_entries(accepted_lines(spark, sf_dir), F.broadcast(schemas.accounts(spark)), run_terms(spark, sf_dir))
+    return got.withColumn("source_page", F.col("source_page").cast("double"))
+
+
+@query(CANDIDATES + f", r AS ({RUN_TERMS}) SELECT DISTINCT run_id, statement_type, coalesce(nullif(r.currency, ''), company_currency) AS currency, coalesce(nullif(unit_scale, 0), 1) AS unit_scale FROM (SELECT run_id, code {USABLE}) JOIN (SELECT code, statement_type FROM {ACCOUNTS}) a USING (code) JOIN r USING (run_id)")
+def commit_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that commits need."""
+    return staging.commit_statements(accepted_lines(spark, sf_dir), F.broadcast(schemas.accounts(spark)), run_terms(spark, sf_dir))
+
+
+@query(CANDIDATES + f""", n AS (SELECT run_id, code, count(*) AS n {USABLE} GROUP BY ALL)
+  SELECT run_id, ord, code, CASE WHEN code IS NOT NULL AND numeric_value IS NOT NULL THEN 'COMMITTED' ELSE status END AS status, CASE WHEN code IS NOT NULL AND numeric_value IS NOT NULL AND n > 1 THEN 'Aggregated into canonical ' || code || ' with reviewed ' || n || ' components.' ELSE 'seen' END AS review_note FROM c LEFT JOIN n USING (run_id, code) WHERE status = 'ACCEPTED'""")
+def commit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted candidates after their runs are committed."""
+    return staging.commit_candidates(accepted_lines(spark, sf_dir).withColumn("review_note", F.lit("seen"))).select("run_id", "ord", "code", "status", "review_note")
+
+
+@query(CANDIDATES + f" SELECT run_id, 'PDF_AI_COMMIT' AS action, 'web-user' AS actor, 'ExtractionRun' AS entity, CAST(run_id AS VARCHAR) AS entity_id, count(*) || '{staging.COMMITTED[0]}' || count(DISTINCT code) || '{staging.COMMITTED[1]}' AS note {USABLE} GROUP BY run_id")
+def commit_audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staging.commit_audit(accepted_lines(spark, sf_dir))
 
 
 PARTY = f"CASE WHEN regexp_matches(lower(reported_label), '{staging.THIRD}') THEN 'T' WHEN regexp_matches(lower(reported_label), '{staging.RELATED}') THEN 'R' END"
@@ -195,10 +230,11 @@ def delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.replace_children(old, new, "report_id")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT o_custkey + 10000000, min(o_orderpriority) FROM orders GROUP BY 1")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT o_custkey + 10000000, min(o_orderpriority) FROM orders WHERE o_custkey % 9 <> 0 GROUP BY 1")
 def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    more = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 10_000_000).alias("id")).agg(F.min("o_orderpriority").alias("name"))
+    # A customer's orders all claim one key, and some have none.
+    more = table(spark, sf_dir, "orders").select(F.expr("CASE WHEN o_custkey % 9 <> 0 THEN o_custkey + 10000000 END").alias("id"), F.col("o_orderpriority").alias("name"))
     return mutations.insert_new(old, more.unionByName(old.select("id", F.lit("never").alias("name"))), ["id"])
 
 
@@ -211,17 +247,18 @@ def conditional_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- validation of inputs
 
 
-FLAGS = [(1, " YES "), (2, ""), (3, None), (4, "0"), (5, "maybe"), (6, "On"), (7, "off"), (8, "FALSE"), (9, "\t1\n")]
+SWITCH = "CASE event_id % 9 WHEN 0 THEN ' YES ' WHEN 1 THEN '' WHEN 3 THEN '0' WHEN 4 THEN event_type WHEN 5 THEN 'On' WHEN 6 THEN 'off' WHEN 7 THEN 'FALSE' WHEN 8 THEN ' 1 ' END"
 
 
-@query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN v = '' THEN 'false' WHEN v IN ('1', 'true', 'yes', 'on') THEN 'true' WHEN v IN ('0', 'false', 'no', 'off') THEN 'false' END AS flag FROM (SELECT id, lower(regexp_replace(coalesce(raw, ''), '^\\s+|\\s+$', '', 'g')) AS v FROM {values(FLAGS, 'id, raw')})""")
+@query(f"""SELECT id, CASE WHEN v = '' THEN 'false' WHEN v IN ('1', 'true', 'yes', 'on') THEN 'true' WHEN v IN ('0', 'false', 'no', 'off') THEN 'false' END AS flag FROM (SELECT event_id AS id, lower(trim(coalesce({SWITCH}, ''))) AS v FROM events)""")
 def flags_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(FLAGS, "id long, raw string").select("id", S.flag("raw").cast("string").alias("flag"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), S.flag(F.expr(SWITCH)).cast("string").alias("flag"))
 
 
-@query("""SELECT v2, legacy, worker, CASE WHEN NOT v2 AND NOT legacy THEN 'NO_UPLOAD_PATH' WHEN v2 AND NOT worker THEN 'NEEDS_WORKER' END AS error FROM (VALUES (true), (false)) a(v2), (VALUES (true), (false)) b(legacy), (VALUES (true), (false)) c(worker)""")
+@query("""SELECT event_id AS id, v2, legacy, worker, CASE WHEN NOT v2 AND NOT legacy THEN 'NO_UPLOAD_PATH' WHEN v2 AND NOT worker THEN 'NEEDS_WORKER' END AS error FROM (SELECT event_id, event_type IN ('view', 'click') AS v2, user_id % 2 = 0 AS legacy, event_id % 3 = 0 AS worker FROM events)""")
 def flags_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b, c) for a in (True, False) for b in (True, False) for c in (True, False)], "v2 boolean, legacy boolean, worker boolean")
+    """Switches of three kinds, and why a combination isn't safe; an event stands for a deployment."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id AS id", "event_type IN ('view', 'click') AS v2", "user_id % 2 = 0 AS legacy", "event_id % 3 = 0 AS worker")
     v2, legacy, worker = F.col("v2"), F.col("legacy"), F.col("worker")
     return rows.withColumn("error", F.when(~v2 & ~legacy, "NO_UPLOAD_PATH").when(v2 & ~worker, "NEEDS_WORKER"))
 
@@ -247,24 +284,45 @@ def report_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", (F.col("y").between(2000, 2100) & F.col("p").isin("Q1", "H1", "Q3", "FY") & S.finite("v")).alias("valid"), F.col("y").between(1900, 2200).alias("year_known"))
 
 
-@query("SELECT l_orderkey AS run_id, l_linenumber AS ord, l_partkey AS part, CASE WHEN l_discount IS NOT NULL THEN greatest(0, least(1, l_discount * 20 - 0.3::DOUBLE)) END AS confidence, substr(l_returnflag || l_linestatus || 'text', 1, 4) AS label FROM lineitem")
+@query("SELECT l_orderkey AS run_id, l_linenumber AS ord, l_partkey AS part, CASE WHEN l_discount IS NOT NULL THEN greatest(0, least(1, l_discount * 20 - 0.3::DOUBLE)) END AS confidence FROM lineitem")
 def staged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), S.clamp(F.col("l_discount") * 20 - 0.3).alias("confidence"), S.cut(F.concat("l_returnflag", "l_linestatus", F.lit("text")), 4).alias("label"))
+    return rows.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), S.clamp(F.col("l_discount") * 20 - 0.3).alias("confidence"))
+
 
+@query("SELECT doc_id, substr(text, 1, 500) AS reported_label, substr(text, 1, 250) AS raw_value, substr(text, 1, 2000) AS source_text, length(substr(text, 1, 12000)) AS n_kept FROM documents")
+def staged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut to what a label, a raw value, a source text and a chunk may have."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.cut("text", 500).alias("reported_label"), S.cut("text", 250).alias("raw_value"), S.cut("text", 2000).alias("source_text"), F.length(S.cut("text", staging.CHUNK_TEXT)).cast("long").alias("n_kept"))
 
-@query("""SELECT c_custkey AS run_id, CAST(i AS INTEGER) AS ord, CASE WHEN c_custkey % 2 = 0 THEN 'usd' ELSE 'IDR' END AS currency, CAST(CASE WHEN i = 0 THEN 1000 WHEN c_custkey % 3 = 0 THEN 5 ELSE 1 END AS INTEGER) AS scale, CASE WHEN i = 0 THEN 'REV' END AS code,
-  CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mapping_confidence, CAST(CASE WHEN i = 0 THEN 2 END AS DOUBLE) AS chunk_ordinal FROM customer, range(0, 2) t(i) WHERE c_custkey % 7 <> 0""")
+
+@query("""SELECT c_custkey AS run_id, CAST(i AS INTEGER) AS ord, CASE WHEN c_custkey % 2 = 0 THEN 'usd' WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 4 = 1 THEN 'SGD' ELSE 'EUR' END ELSE 'IDR' END AS currency, CAST(CASE WHEN i = 0 THEN 1000 WHEN c_custkey % 3 = 0 THEN 5 ELSE 1 END AS INTEGER) AS scale, CASE WHEN i = 0 THEN 'REV' END AS code,
+  CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS mapping_confidence, CAST(CASE WHEN i = 0 AND c_custkey % 6 <> 0 THEN 2 END AS DOUBLE) AS chunk_ordinal FROM customer, range(0, 2) t(i) WHERE c_custkey % 7 <> 0""")
 def extraction_staging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of the extraction service parsed and staged; those without both lists aren't valid."""
-    key = F.col("c_custkey").cast("string")
-    scale = F.when(F.col("c_custkey") % 3 == 0, '"detectedUnitScale":5,').otherwise("")
-    currency = F.when(F.col("c_custkey") % 2 == 0, '"currency":"usd",').otherwise('"currency":"",')
+    got = staging.staged(extraction(answers(spark, sf_dir)), F.broadcast(schemas.accounts(spark)))
+    return got.select("run_id", "ord", "currency", "scale", "code", "mapping_confidence", F.col("chunk_ordinal").cast("double").alias("chunk_ordinal"))
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the service, of which some lack a currency, chunks, or both lists, and their companies' currency."""
+    n = F.col("c_custkey")
+    key = n.cast("string")
+    scale = F.when(n % 3 == 0, '"detectedUnitScale":5,').otherwise("")
+    currency = F.when(n % 2 == 0, '"currency":"usd",').otherwise('"currency":"",')
+    chunks = F.when(n % 6 == 0, "").otherwise('{"pageStart":1,"pageEnd":2,"textSummary":"one"},{"pageStart":3,"pageEnd":9,"section":"S","chunkType":"TABLE","textSummary":""},{"pageStart":3,"pageEnd":5}')
     good = F.concat(
-        F.lit('{"detectedCurrency":"IDR",'), scale, F.lit('"chunks":[{"pageStart":1,"pageEnd":2},{"pageStart":3,"pageEnd":9},{"pageStart":3,"pageEnd":5}],"candidates":[{'), currency,
+        F.lit('{"detectedCurrency":"'), F.when(n % 5 == 0, "").otherwise("IDR"), F.lit('",'), scale, F.lit('"chunks":['), chunks, F.lit('],"candidates":[{'), currency,
         F.lit('"reportedLabel":" Sales '), key, F.lit('","rawValue":"1","numericValue":1.5,"scale":1000,"sourcePage":4,"canonicalCode":"rev","extractionConfidence":2.0,"mappingConfidence":1.5},{'), currency,
         F.lit('"reportedLabel":"Other","rawValue":"2","numericValue":2,"scale":0,"canonicalCode":"none","mappingConfidence":0.5},{"reportedLabel":"No number","rawValue":"-","numericValue":null}]}'),
     )
-    answers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 7 == 0, '{"chunks":[]}').otherwise(good).alias("answer"))
-    got = staging.staged(extraction(answers), F.broadcast(schemas.accounts(spark)))
-    return got.select("run_id", "ord", "currency", "scale", "code", "mapping_confidence", F.col("chunk_ordinal").cast("double").alias("chunk_ordinal"))
+    return table(spark, sf_dir, "customer").select(n.alias("run_id"), F.when(n % 4 == 1, "SGD").otherwise("EUR").alias("company_currency"), F.when(n % 7 == 0, '{"chunks":[]}').otherwise(good).alias("answer"))
+
+
+@query("""SELECT c_custkey AS run_id, CAST(i AS INTEGER) AS ordinal, CASE WHEN c_custkey % 6 = 0 THEN 'SECTION' WHEN i = 2 THEN 'TABLE' END AS chunk_type, CAST(CASE WHEN c_custkey % 6 <> 0 THEN CASE i WHEN 1 THEN 1 ELSE 3 END END AS DOUBLE) AS page_start, CAST(CASE WHEN c_custkey % 6 <> 0 THEN CASE i WHEN 1 THEN 2 WHEN 2 THEN 9 ELSE 5 END END AS DOUBLE) AS page_end,
+  CASE WHEN c_custkey % 6 = 0 THEN 'Financial Statements' WHEN i = 2 THEN 'S' END AS section, CASE WHEN c_custkey % 6 = 0 THEN 'AI extraction result' WHEN i = 1 THEN 'one' WHEN i = 2 THEN '' END AS text, sha256(CASE WHEN c_custkey % 6 = 0 THEN 'AI extraction result' WHEN i = 1 THEN 'one' WHEN i = 2 THEN '' END) AS text_hash
+  FROM customer, range(1, 4) t(i) WHERE c_custkey % 7 <> 0 AND (c_custkey % 6 <> 0 OR i = 1)""")
+def extraction_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the same answers; one without any gets one for the whole."""
+    got = staging.staged_chunks(extraction(answers(spark, sf_dir)))
+    return got.withColumns({c: F.col(c).cast("double") for c in ("page_start", "page_end")})

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
-from tallyloom.operators import documents, facts, pipeline, quality, ratios, staging
+from tallyloom.operators import documents, facts, mutations, pipeline, quality, ratios, staging
 from tallyloom.sources import readers, schemas
 
 WIDE = "company long, year int, period_ord int, period string, " + ", ".join(f"{c} double" for c in facts.CODES)
@@ -98,24 +98,60 @@ def test_safe_aggregation(spark, code, labels, safe):
     assert staging.safe_groups(df).first()["is_safe"] is safe
 
 
-CANDIDATE = "run_id long, ord int, code string, reported_label string, raw_value string, numeric_value decimal(28,6), scale int, source_page int, extraction_confidence double, mapping_confidence double, currency string"
+CANDIDATE = "run_id long, ord int, code string, reported_label string, raw_value string, numeric_value decimal(28,6), scale int, source_page int, extraction_confidence double, mapping_confidence double, currency string, source_text string"
+RUN = "run_id long, currency string, company_currency string, unit_scale int"
 
 
 def entry(spark, *rows):
     from decimal import Decimal
 
-    made = [(1, i, "AR", lab, str(v), Decimal(v), scale, page, a, b, "IDR") for i, (lab, v, scale, page, a, b) in enumerate(rows)]
-    return staging.commit_entries(spark.createDataFrame(made, CANDIDATE)).first()
+    made = [(1, i, "AR", lab, str(v), Decimal(v), scale, page, a, b, None, "said") for i, (lab, v, scale, page, a, b) in enumerate(rows)]
+    return staging.commit_entries(spark.createDataFrame(made, CANDIDATE), schemas.accounts(spark), spark.createDataFrame([(1, "", "USD", None)], RUN)).first()
 
 
 def test_commit_entries(spark):
     got = entry(spark, ("x", 100, 1_000_000, 12, 0.98, 0.9), ("y", 25, 1_000_000, 12, 0.95, None))
-    assert (got["value"], got["scale"], got["source_page"], got["confidence"], got["provenance"]) == (125, 1_000_000, 12, 0, "x: 100 (page 12) | y: 25 (page 12)")
+    assert (got["value"], got["scale"], got["source_page"], got["confidence"], got["raw_text"]) == (125, 1_000_000, 12, 0, "x: 100 (page 12) | y: 25 (page 12)")
     got = entry(spark, ("x", 100, 1_000_000, 12, 1.0, 1.0), ("y", 25, 1_000, 13, 1.0, 1.0))
     assert (got["value"], got["scale"], got["source_page"]) == (100_025_000, 1, None)
+    assert (got["reported_label"], got["currency"]) == ("Accounts Receivable — aggregated from 2 reviewed components", "USD")
     assert entry(spark, ("own label", 5, 0, None, 1.0, 1.0))["reported_label"] == "own label"
 
 
+def test_commit_falls_back_to_source_text_and_run(spark):
+    rows = [(1, 0, "AR", "x", None, Decimal(1), None, None, 1.0, 1.0, "", "said"), (1, 1, "AR", "y", None, Decimal(2), None, None, 1.0, 1.0, "EUR", None), (2, 0, "NEW", "z", "3", Decimal(3), 5, 1, 1.0, 1.0, None, None)]
+    runs = spark.createDataFrame([(1, "SGD", "USD", 0), (2, None, "USD", 7)], RUN)
+    df = spark.createDataFrame(rows, CANDIDATE)
+    got = {r["run_id"]: r for r in staging.commit_entries(df, schemas.accounts(spark), runs).collect()}
+    assert (got[1]["raw_text"], got[1]["currency"], got[1]["value"], got[1]["scale"]) == ("said", "SGD", 3.0, 1)
+    assert (got[2]["raw_text"], got[2]["currency"], got[2]["reported_label"]) == ("z: 3 (page 1)", "USD", "z")
+    assert [tuple(r) for r in staging.commit_statements(df, schemas.accounts(spark), runs).collect()] == [(1, "BALANCE_SHEET", "SGD", 1)]
+    notes = {(r["run_id"], r["ord"]): (r["status"], r["review_note"]) for r in staging.commit_candidates(df.withColumns({"status": F.lit("ACCEPTED"), "review_note": F.lit("old")})).collect()}
+    assert notes == {(1, 0): ("COMMITTED", "Aggregated into canonical AR with reviewed 2 components."), (1, 1): ("COMMITTED", "Aggregated into canonical AR with reviewed 2 components."), (2, 0): ("COMMITTED", "old")}
+
+
+def test_an_unknown_code_is_an_error(spark):
+    df = spark.createDataFrame([("AR",), ("NOPE",), ("NEITHER",), (None,)], "code string")
+    with pytest.raises(staging.UnknownCodes, match="3 codes.*NEITHER"):
+        staging.accounts_of(df, schemas.accounts(spark))
+    assert staging.accounts_of(df.where("code = 'AR'"), schemas.accounts(spark)).first()["account_name"] == "Accounts Receivable"
+
+
+def test_a_key_is_put_in_once(spark):
+    old = spark.createDataFrame([(1, "old")], "id int, name string")
+    new = spark.createDataFrame([(1, "b"), (2, "c"), (2, "a"), (None, "x"), (3, None)], "id int, name string")
+    assert sorted(map(tuple, mutations.insert_new(old, new, ["id"]).collect()), key=str) == [(1, "old"), (2, "a"), (3, None)]
+    assert sorted(map(tuple, mutations.upsert(old, new, ["id"], [F.col("name") != "c"]).collect()), key=str) == [(1, "b"), (2, "c"), (3, None)]
+    assert sorted((r["id"] or 0, r["n_rows"]) for r in mutations.rejected(new, ["id"]).collect()) == [(0, 1), (2, 2)]
+
+
+def test_a_bad_switch_is_an_error_where_it_has_a_name(spark):
+    df = spark.createDataFrame([("maybe",)], "x string")
+    assert df.select(S.flag("x")).first()[0] is None
+    with pytest.raises(Exception, match="UPLOAD_V2 must be one of"):
+        df.select(S.flag("x", name="UPLOAD_V2")).collect()
+
+
 def test_period_ends(spark):
     df = spark.createDataFrame([(2024, p) for p in schemas.PERIODS], "y int, p string")
     assert [str(r[0]) for r in df.select(S.period_end("y", "p")).collect()] == ["2024-03-31", "2024-06-30", "2024-09-30", "2024-12-31", "2024-12-31"]
