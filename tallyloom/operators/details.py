@@ -6,11 +6,13 @@ kinds of children is never multiplied, and one without any stays.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ordinal
-from tallyloom.sources.schemas import STATEMENTS
+from tallyloom.sources.schemas import PERIODS, STATEMENTS
 
 # How statements are named, and how far an upload is by the service's answer.
 STATEMENT_LABELS = {"INCOME_STATEMENT": "Income Statement", "BALANCE_SHEET": "Balance Sheet", "CASH_FLOW": "Cash Flow", "OTHER": "Other"}
@@ -98,9 +100,39 @@ def searched(accounts: DataFrame, terms: list[str]) -> DataFrame:
     return accounts.withColumn("term", F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: hay.contains(F.trim(F.lower(t))))))
 
 
+def objects_of(text: Column, *fields: str) -> Column:
+    """The objects of a JSON array, as structs of these fields as text, without its other items; of any other value, none."""
+    items = F.from_json(text, "array<variant>")
+    kept = F.filter(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    return F.coalesce(F.transform(kept, lambda x: F.struct(*(F.try_variant_get(x, f"$.{f}", "string").alias(f) for f in fields))), F.array().cast("array<struct<" + ",".join(f"{f}:string" for f in fields) + ">>"))
+
+
+def counted_and_dropped(runs: DataFrame, nested: str, status: str, states: Sequence[str]) -> DataFrame:
+    """Rows with their nested array counted by a state of its items, and without the array itself."""
+    n = lambda s: F.size(F.filter(F.coalesce(F.col(nested), F.array()), lambda x: x[status] == s))
+    return runs.withColumns({s.lower(): n(s) for s in states}).withColumn("total", F.coalesce(F.array_size(nested), F.lit(0))).drop(nested)
+
+
+def in_order(reports: DataFrame) -> DataFrame:
+    """Reports of each year with their ``place``: by the company's ticker, then the period's order and the id."""
+    order = [F.col("ticker"), ordinal("period", PERIODS), F.col("report_id")]
+    return reports.withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy(*order))).orderBy(F.desc("year"), "place")
+
+
+def missing_texts(accounts: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Accounts whose dictionary row lacks a text, and which: null, blank, and an empty list are lacking."""
+    lacks = lambda c: F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "") | (F.col(c).cast("string") == "[]"), F.lit(c))
+    return accounts.withColumn("missing", F.array_compact(F.array(*map(lacks, texts)))).where(F.size("missing") > 0)
+
+
 # -- uploads that a service extracts
 
 
+def open_jobs(jobs: DataFrame, most: int = 100) -> DataFrame:
+    """The latest jobs that no run has come of, without the file's bytes."""
+    return jobs.where(F.col("run_id").isNull()).drop("content").orderBy(F.desc("updated_at"), "job_id").limit(most)
+
+
 def upload_queue(jobs: DataFrame, most: int) -> DataFrame:
     """The next uploads to hand over."""
     return jobs.where((F.col("status") == "UPLOADED") & F.col("response_id").isNull()).orderBy("created_at", "job_id").limit(most)

@@ -59,6 +59,14 @@ def pages(total: int, size: float | None = 20) -> int:
     return max(1, -(-total // size))
 
 
+def page_counts(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """For each status group and page size the rows, and the pages they take: one at least. Sizes are brought within their bounds."""
+    counts = summary(rows).select("status_group", F.col("reports").alias("total"))
+    bound = F.least(F.lit(50), F.greatest(F.lit(5), F.col("asked")))
+    got = counts.withColumn("asked", F.explode(F.array(*map(F.lit, sizes)))).withColumn("size", bound)
+    return got.withColumn("pages", F.greatest(F.lit(1), F.ceil(F.col("total") / F.col("size"))).cast("int"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Reports and known companies of each status group and of all, also of groups without any."""
     known = F.when(F.col("ticker") != UNKNOWN, F.col("ticker"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import detail_queries, document_queries, fact_queries, integrity_queries, queue_queries, report_queries, staging_queries, stream_queries
+from tallyloom.plans import detail_queries, document_queries, fact_queries, integrity_queries, list_queries, queue_queries, report_queries, staging_queries, stream_queries
 from tallyloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "detail_queries", "document_queries", "fact_queries", "integrity_queries", "queue_queries", "report_queries", "staging_queries", "stream_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "detail_queries", "document_queries", "fact_queries", "integrity_queries", "list_queries", "queue_queries", "report_queries", "staging_queries", "stream_queries"]
