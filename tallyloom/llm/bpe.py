@@ -10,7 +10,9 @@ white space and lower case, and split into letters, single digits and other sign
 crosses white space, results are cached by white-space-separated chunk.
 
 Null and empty texts encode to no tokens. A text's special tokens are recognised as the file says,
-before it is normalised.
+before it is normalised. Of pairs that could merge at one rank the leftmost does, as the file's library has it. Rows with equal
+ids, or equal rows, are encoded each for itself, very long texts whole. An empty table gives an empty result. Other columns aren't
+read, whatever their names. All caches start anew when they grow large.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from tallyloom.llm import common
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks kept per Python worker; beyond it the cache starts anew, which costs time but changes nothing.
 CACHE_CHUNKS = 1_000_000
+#: Pairs of tokens whose compatibility a Python worker keeps.
+PAIRS = 1_000_000
 #: Unicode's White_Space.
 SPACE = "\t-\r \x85\xa0  -     　"
 
@@ -202,6 +206,8 @@ class Codec:
 
     def _checked_pairs(self, pairs: np.ndarray) -> np.ndarray:
         keys, back = np.unique(pairs, return_inverse=True)
+        if len(self.pair_ok) > PAIRS:
+            self.pair_ok.clear()
         known = [self.pair_ok.get(k) for k in keys.tolist()]
         new = np.array([k for k, x in zip(keys.tolist(), known) if x is None], np.int64)
         if len(new):

@@ -61,3 +61,14 @@ def test_run_packs_what_the_stages_keep(spark, folder):
     assert got and {g["doc_id"] for g in got} < ids
     assert [n for n, _ in cp.STAGES] == ["language_id", "jaccard_join", "suffix_dedup", "pii", "packing"]
     assert not re.search("localCheckpoint", open(cp.__file__).read())
+
+
+def test_other_columns_and_an_empty_table(spark, rows, tmp_path):
+    from conftest_rows import SCHEMA
+
+    more = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'mine' AS score", "1 AS node", "'x' AS rejected", "2 AS piece")
+    more.write.parquet(f"{tmp_path}/wide/documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/plain/documents.parquet")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")
+    key = lambda d: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in cp.run(spark, f"{tmp_path}/{d}").collect())
+    assert key("wide") == key("plain") and key("none") == []
