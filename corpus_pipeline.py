@@ -1,6 +1,12 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
-All stages but the last return the columns of ``documents``; the last returns the packing plan.
+All stages but the last return the columns of ``documents``; the last returns the packing plan. A stage's table is deleted once the
+next one is written; that of the last but one stays in the shared folder, as the result is read from it.
+
+A null text has no language and goes in the first stage, as an empty one does. Texts of any length go through every stage whole. Rows alike in
+id and text are one document from the second stage on; of a group of near copies the smallest id stays, and of rows of that id and other
+texts each stays that is first of its own group. Columns beyond those of ``documents`` are dropped by the first stage. An empty
+table gives an empty plan.
 """
 
 from __future__ import annotations
@@ -60,7 +66,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), name)
+        common.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
