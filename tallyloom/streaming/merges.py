@@ -82,13 +82,16 @@ class Versions:
         done = self.committed()
         if done and batch < done[-1]:
             return
-        rows = rows.where(F.col(self.key).isNotNull()).select(*self._columns())
-        touched = {r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()}
-        if touched:
-            new = fold(self.before(batch, touched).unionByName(rows))
-            # One task for each bucket writes its version, and a version that a failed try left is overwritten.
-            out = new.select(*self._columns()).withColumns({"bucket": self.bucket(), "batch": F.lit(batch)}).repartition(len(touched), "bucket")
-            out.write.partitionBy("bucket", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.root)
+        rows = rows.where(F.col(self.key).isNotNull()).select(*self._columns()).persist()  # looked at twice; a lost part is made again
+        try:
+            touched = {r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()}
+            if touched:
+                new = fold(self.before(batch, touched).unionByName(rows))
+                # One task for each bucket writes its version, and a version that a failed try left is overwritten.
+                out = new.select(*self._columns()).withColumns({"bucket": self.bucket(), "batch": F.lit(batch)}).repartition(len(touched), "bucket")
+                out.write.partitionBy("bucket", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.root)
+        finally:
+            rows.unpersist()
         self._files().create(self._path("_batches", str(batch)), True).close()
         self._tidy(batch)
 
