@@ -12,35 +12,35 @@ CODES = ("REV", "COGS", "OPERATING_PROFIT", "NET_PROFIT", "OCF", "TOTAL_ASSETS",
 YTD = ("Q1", "H1", "Q3", "FY")
 
 
-def _sum(value: Column, when: Column | None = None) -> Column:
-    return F.sum(value if when is None else F.when(when, value))
+def _sum(value: str, when: str | None = None) -> Column:
+    return F.sum(value if when is None else F.when(F.expr(when), F.col(value)))
 
 
 def from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Year-to-date facts of each supplier, year and period, one column a code, as doubles.
 
-    Sums are exact decimals. Quarters are summed first, so only those sums are repeated for later periods.
+    Sums are exact decimals. Only three sums for each quarter and pair of flags are made of the rows, before the shuffle. What
+    comes out is then dealt by company and year; later periods repeat it within a task, and later groups and windows by company
+    and year need no other shuffle.
     """
     e = F.col("l_extendedprice").cast("decimal(18,2)")
     base = lineitem.select(
-        F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"),
+        F.col("l_suppkey").alias("company"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"), F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
         e.alias("e"), (e * (1 - F.col("l_discount").cast("decimal(4,2)"))).alias("n"), (e * F.col("l_tax").cast("decimal(4,2)")).alias("t"),
-        F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"),
     )
-    rf, ls, e, n, t = (F.col(c) for c in ("rf", "ls", "e", "n", "t"))
-    share = F.expr("CAST(CASE company % 7 WHEN 0 THEN 0.01 WHEN 1 THEN 0.002 WHEN 2 THEN 0.0005 ELSE 0 END AS DECIMAL(5,4))")
+    quarters = base.groupBy("company", "year", "quarter", "rf", "ls").agg(*[F.sum(c).alias(c) for c in ("e", "n", "t")])
+    spread = quarters.repartition("company", "year").withColumn("period_ord", F.explode(F.sequence("quarter", F.lit(4))))
     parts = {
-        "rev": _sum(n), "cogs": _sum(n, rf != "R"), "op": _sum(n, (rf == "R") & (ls == "F")), "tax_r": _sum(t, rf == "R"),
-        "ocf_n": _sum(n, (rf == "R") & (ls == "O")), "e_all": _sum(e), "e_liab": _sum(e, rf != "N"), "e_n": _sum(e, rf == "N"), "e_extra": _sum(e * share),
-        "ar": _sum(e, (ls == "O") & (rf == "N")), "cash": _sum(e, (rf == "N") & (ls == "F")), "inv": _sum(e, (rf == "A") & (ls == "O")),
-        "ap": _sum(e, (rf == "R") & (ls == "O")), "debt": _sum(e, rf == "A"), "capex": _sum(t, rf == "A"), "interest": _sum(t, (rf == "R") & (ls == "F")),
-        "ca": _sum(e, ls == "O"), "cl": _sum(e, rf == "R"),
+        "rev": _sum("n"), "cogs": _sum("n", "rf <> 'R'"), "op": _sum("n", "rf = 'R' AND ls = 'F'"), "tax_r": _sum("t", "rf = 'R'"),
+        "ocf_n": _sum("n", "rf = 'R' AND ls = 'O'"), "e_all": _sum("e"), "e_liab": _sum("e", "rf <> 'N'"), "e_n": _sum("e", "rf = 'N'"),
+        "ar": _sum("e", "ls = 'O' AND rf = 'N'"), "cash": _sum("e", "rf = 'N' AND ls = 'F'"), "inv": _sum("e", "rf = 'A' AND ls = 'O'"),
+        "ap": _sum("e", "rf = 'R' AND ls = 'O'"), "debt": _sum("e", "rf = 'A'"), "capex": _sum("t", "rf = 'A'"), "interest": _sum("t", "rf = 'R' AND ls = 'F'"),
+        "ca": _sum("e", "ls = 'O'"), "cl": _sum("e", "rf = 'R'"),
     }
-    quarters = base.groupBy("company", "year", "quarter").agg(*[v.alias(k) for k, v in parts.items()])
-    spread = quarters.withColumn("period_ord", F.explode(F.sequence("quarter", F.lit(4))))
-    sums = spread.groupBy("company", "year", "period_ord").agg(*[F.sum(k).alias(k) for k in parts])
+    sums = spread.groupBy("company", "year", "period_ord").agg(*[v.alias(k) for k, v in parts.items()])
+    share = "CAST(CASE company % 7 WHEN 0 THEN 0.01 WHEN 1 THEN 0.002 WHEN 2 THEN 0.0005 ELSE 0 END AS DECIMAL(5,4))"
     value = {
-        "REV": "rev", "COGS": "cogs", "OPERATING_PROFIT": "op", "NET_PROFIT": "op - tax_r", "OCF": "ocf_n - tax_r", "TOTAL_ASSETS": "e_all", "TOTAL_LIAB": "e_liab", "EQUITY": "e_n + e_extra",
+        "REV": "rev", "COGS": "cogs", "OPERATING_PROFIT": "op", "NET_PROFIT": "op - tax_r", "OCF": "ocf_n - tax_r", "TOTAL_ASSETS": "e_all", "TOTAL_LIAB": "e_liab", "EQUITY": f"e_n + e_all * {share}",
         "AR": "ar", "CASH": "cash", "INV": "inv", "AP": "ap", "TOTAL_DEBT": "debt", "CAPEX": "capex", "FINANCE_COST": "interest", "CURRENT_ASSETS": "ca", "CURRENT_LIAB": "cl",
     }
     period = F.element_at(F.array(*map(F.lit, YTD)), F.col("period_ord"))
@@ -48,8 +48,9 @@ def from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 
 def to_long(wide: DataFrame, codes: Sequence[str] = CODES, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row for each code that has a value."""
-    return wide.unpivot(list(keys), list(codes), "code", "value").where(F.col("value").isNotNull())
+    """One row for each code that has a value. Rows stay in their partitions, so groups by the same keys need no other shuffle."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("value")) for c in codes])
+    return wide.select(*keys, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def to_wide(long: DataFrame, codes: Sequence[str] = CODES, keys: Sequence[str] = KEYS, scaled: bool = False) -> DataFrame:
