@@ -13,7 +13,9 @@ q-gram, the first bucket. Strings that stand next to each other and choose the s
 stretch. Of equal stretches the earliest stays and the others go at once. Where stretches with one q-gram
 differ, their bytes are fetched and refined to full depth. A q-gram with many different stretches is dealt
 to several tasks, whose survivors then meet by the hash of their whole string. Stretches that repeat one of
-their own task are settled there, so a text with many copies doesn't send all of them to one place.
+their own task are settled there, so a text with many copies doesn't send all of them to one place. Those of a
+frequent q-gram are dealt by their content, as only equal ones need to meet; whether a q-gram has several
+contents is then told by a count.
 
 Null and empty texts, and those shorter than ``DEPTH``, lose nothing; an empty table stays empty. Rows with
 the same id and text are one document and get equal results; of different texts with one id, the order is
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm import common
 
 DEPTH, GRAM = 100, 32
+#: Kinds of stretches: the first of its content in its task, the same of a frequent q-gram, one that repeats another.
+FIRST, HOT, AGAIN = 0, 1, 2
 #: Different stretches of a q-gram that one task refines; more are dealt to several.
 CROWD = 8_000
 #: Rows of the sample that shows which q-grams are frequent, and in how many of them a frequent one is.
@@ -88,13 +92,18 @@ class Late:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.grams & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+    def found(self, key: np.ndarray) -> np.ndarray:
+        """Indexes of the q-grams that are in the set."""
+        if not len(self.grams):
+            return np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.uint16)])
+        near = np.minimum(np.searchsorted(self.grams, key[at]), len(self.grams) - 1)
+        return at[self.grams[near] == key[at]]
+
     def order(self, key: np.ndarray) -> np.ndarray:
         """A number for each q-gram that sorts as the order asks, in its high bits."""
         out = key >> np.uint64(1)
-        if len(self.grams):
-            at = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.uint16)])
-            near = np.minimum(np.searchsorted(self.grams, key[at]), len(self.grams) - 1)
-            out[at[self.grams[near] == key[at]]] |= np.uint64(1 << 63)
+        out[self.found(key)] |= np.uint64(1 << 63)
         return out
 
 
@@ -193,7 +202,7 @@ class Settled:
 
 
 def scan(depth: int, gram: int, late: Late):
-    """Stretches of every text: ``gram``, ``whole``, ``doc_id``, ``place``, and whether it is ``again`` one of its task."""
+    """Stretches of every text: ``gram``, ``whole``, ``doc_id``, ``place``, ``kind``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled = Settled()
@@ -229,15 +238,18 @@ def scan(depth: int, gram: int, late: Late):
             place = packed(tag[doc], np.concatenate(lo), np.concatenate(span))
             ids = b.column("doc_id")
             first, again = settled(key, whole, ids.fill_null(0).to_numpy()[doc], ids.is_null().to_numpy(zero_copy_only=False)[doc], place)
+            kind = np.full(len(key), FIRST, np.int8)
+            kind[late.found(key)] = HOT
+            kind[again] = AGAIN
             out = np.flatnonzero(first | again)
-            yield pa.RecordBatch.from_arrays([pa.array(key[out].view(np.int64)), pa.array(whole[out].view(np.int64)), ids.take(pa.array(doc[out])), pa.array(place[out]), pa.array(again[out])], ["gram", "whole", "doc_id", "place", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[out].view(np.int64)), pa.array(whole[out].view(np.int64)), ids.take(pa.array(doc[out])), pa.array(place[out]), pa.array(kind[out])], ["gram", "whole", "doc_id", "place", "kind"])
 
     return run
 
 
 def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of stretches sorted by q-gram, content and order: later equal ones (``open`` false), and the first of
-    each content where the q-gram has several contents (``open`` true). Those known to repeat one pass as they are."""
+    """Of stretches sorted by kind, q-gram, content and order: later equal ones (``open`` false), and the first of
+    each content where the q-gram is frequent, or has several contents (``open`` true). Those known to repeat one pass as they are."""
     last: pa.RecordBatch | None = None  # the row before
     held: pa.RecordBatch | None = None  # a first stretch, not known yet to be one of several
     several = False
@@ -246,7 +258,7 @@ def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([rows.column("gram"), rows.column("doc_id"), rows.column("place"), pa.array(np.full(rows.num_rows, open_))], ["gram", "doc_id", "place", "open"])
 
     for b in batches:
-        again = b.column("again")
+        again = pa.compute.equal(b.column("kind"), AGAIN)
         if again.true_count:
             yield out(b.filter(again), False)
             b = b.filter(pa.compute.invert(again))
@@ -276,10 +288,11 @@ def told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chain = firsts if held is None else pa.Table.from_batches([held, firsts]).combine_chunks().to_batches()[0]
             g = chain.column("gram").to_numpy()
             same = g[1:] == g[:-1]
-            keep = np.append(False, same) | np.append(same, False)
+            hot = chain.column("kind").to_numpy() == HOT  # its other contents may be in other tasks
+            keep = np.append(False, same) | np.append(same, False) | hot
             keep[0] |= several
             yield out(chain.slice(0, chain.num_rows - 1).filter(pa.array(keep[:-1])), True)
-            held, several = chain.slice(chain.num_rows - 1), bool(same[-1]) if len(same) else several
+            held, several = chain.slice(chain.num_rows - 1), bool(keep[-1]) if len(same) else several or bool(hot[-1])
         last = rows.slice(rows.num_rows - 1)
     if held is not None and several:
         yield out(held, True)
@@ -406,15 +419,16 @@ def cut_out(depth: int):
 def repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``doc_id``, ``tag``, ``places``: runs of strings that also start earlier. ``docs``: doc_id, text and tag."""
     late = frequent_grams(docs, gram, *FREQUENT)
-    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(common.lean(scan(depth, gram, late)), "gram long, whole long, doc_id long, place long, again boolean")
-    rows = rows.withColumn("deal", F.when(F.col("again"), F.xxhash64("doc_id", "place")).otherwise(F.col("gram"))).repartition("deal").drop("deal")
-    rows = rows.sortWithinPartitions("again", "gram", "whole", F.col("doc_id").asc_nulls_first(), "place")
+    rows = docs.where(F.octet_length("text") >= depth).mapInArrow(common.lean(scan(depth, gram, late)), "gram long, whole long, doc_id long, place long, kind byte")
+    rows = rows.repartition(F.when(F.col("kind") == AGAIN, F.xxhash64("doc_id", "place")).when(F.col("kind") == HOT, F.xxhash64("gram", "whole")).otherwise(F.col("gram")))
+    rows = rows.sortWithinPartitions("kind", "gram", "whole", F.col("doc_id").asc_nulls_first(), "place")
     found = common.materialize(rows.mapInArrow(told_apart, "gram long, doc_id long, place long, open boolean"), "stretches")
 
     common.tidy(docs.sparkSession)
     open_ = found.where("open").select("gram", "doc_id", "place")
-    crowds = open_.groupBy("gram").count().where(F.col("count") > crowd).select("gram", F.ceil(F.col("count") / crowd).cast("int").alias("parts"))
-    open_ = open_.join(crowds, "gram", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
+    contents = open_.groupBy("gram").count().where((F.col("count") == 1) | (F.col("count") > crowd)).select("gram", F.ceil(F.col("count") / crowd).cast("int").alias("parts"), (F.col("count") == 1).alias("only"))
+    open_ = open_.join(contents, "gram", "left").where(~F.coalesce("only", F.lit(False))).drop("only")  # only one content of a frequent q-gram
+    open_ = open_.withColumn("salt", F.when(F.col("parts").isNotNull(), 1 + F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).cast("int")).otherwise(0)).drop("parts")
     asked = open_.groupBy("doc_id", F.shiftright("place", 38).alias("tag")).agg(F.collect_list(F.struct("gram", "place", "salt")).alias("wanted"))
     asked = asked.withColumnsRenamed({"doc_id": "id_", "tag": "tag_"})
     cut = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("tag") == F.col("tag_"))).select("doc_id", "text", "wanted")

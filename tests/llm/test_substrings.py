@@ -48,6 +48,29 @@ def test_frequent_grams_change_nothing(docs, rows, monkeypatch, least):
     assert sorted(tuple(r) for r in substrings.digest(docs).collect()) == brute(rows, 100)
 
 
+@pytest.mark.parametrize("crowd", [8_000, 5])
+def test_contents_of_a_frequent_gram_meet_from_several_tasks(spark, monkeypatch, crowd):
+    """One run of signs holds every q-gram of many texts, which differ around it; some are equal, some rows repeated."""
+    monkeypatch.setattr(substrings, "FREQUENT", (1000, 2))
+    rng = np.random.default_rng(11)
+    core = "".join(rng.choice(list("abcdefgh "), 95))
+    rows = [(i, f"{i % 37:02d}{core}{i % 11}{core[: i % 60]}") for i in range(150)]
+    rows += [rows[3], rows[80], (500, core * 3), (None, None), (501, "")]
+    got = [sorted(tuple(r) for r in substrings.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), crowd=crowd).where("doc_id IS NOT NULL").collect()) for n in (1, 6)]
+    assert got[0] == got[1] == brute([r for r in rows if r[0] is not None], 100)
+
+
+def test_frequent_grams_are_dealt_by_content_and_told_apart():
+    import pyarrow as pa
+
+    hot, cold = substrings.HOT, substrings.FIRST
+    rows = [(5, 1, 1, 0, cold), (6, 1, 1, 9, cold), (6, 2, 2, 9, cold), (7, 1, 1, 0, hot), (7, 1, 4, 0, hot), (8, 3, 1, 0, hot), (9, 1, 2, 5, substrings.AGAIN)]
+    whole = pa.Table.from_arrays([pa.array(c, pa.int8() if i == 4 else pa.int64()) for i, c in enumerate(zip(*rows))], ["gram", "whole", "doc_id", "place", "kind"])
+    for size in (1, 2, 7):
+        got = [tuple(r.values()) for b in substrings.told_apart(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(got) == [(6, 1, 9, True), (6, 2, 9, True), (7, 1, 0, True), (7, 4, 0, False), (8, 1, 0, True), (9, 2, 5, False)]
+
+
 def test_long_texts_are_read_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(3)
     a = "".join(rng.choice(list("abcdefgh "), 5000))
