@@ -284,10 +284,10 @@ def report_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", (F.col("y").between(2000, 2100) & F.col("p").isin("Q1", "H1", "Q3", "FY") & S.finite("v")).alias("valid"), F.col("y").between(1900, 2200).alias("year_known"))
 
 
-@query("SELECT l_orderkey AS run_id, l_linenumber AS ord, l_partkey AS part, CASE WHEN l_discount IS NOT NULL THEN greatest(0, least(1, l_discount * 20 - 0.3::DOUBLE)) END AS confidence FROM lineitem")
+@query("SELECT l_orderkey AS run_id, l_linenumber AS ord, l_partkey AS part, CASE WHEN l_discount IS NOT NULL THEN greatest(0, least(1, l_discount * 20 - 0.3::DOUBLE)) END AS confidence, substr(l_returnflag || l_linestatus || 'text', 1, 500) AS label FROM lineitem")
 def staged_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), S.clamp(F.col("l_discount") * 20 - 0.3).alias("confidence"))
+    return rows.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").alias("part"), S.clamp(F.col("l_discount") * 20 - 0.3).alias("confidence"), S.cut(F.concat("l_returnflag", "l_linestatus", F.lit("text")), 500).alias("label"))
 
 
 @query("SELECT doc_id, substr(text, 1, 500) AS reported_label, substr(text, 1, 250) AS raw_value, substr(text, 1, 2000) AS source_text, length(substr(text, 1, 12000)) AS n_kept FROM documents")

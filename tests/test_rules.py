@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators import documents, facts, mutations, pipeline, quality, ratios, staging
+from tallyloom.plans import catalog
 from tallyloom.sources import readers, schemas
 
 WIDE = "company long, year int, period_ord int, period string, " + ", ".join(f"{c} double" for c in facts.CODES)
@@ -207,3 +208,8 @@ def test_tables_are_declared(spark):
         assert schemas.empty(spark, name).count() == 0
     assert schemas.schema("FinancialEntry")["value"].dataType.simpleString() == "decimal(28,6)"
     assert not math.isnan(schemas.HISTORY[0][1])
+
+
+def test_staged_rows_have_their_label_whole(spark):
+    got = catalog.QUERIES["staged_values"](spark, "/root/testdata/sf0.001")
+    assert {r["label"] for r in got.select("label").distinct().collect()} >= {"AFtext", "NOtext"}
