@@ -70,7 +70,7 @@ MAPPING = "SELECT p_partkey AS mapping_id, p_name || ' ' || p_partkey AS source_
 
 @query(f"SELECT mapping_id, source_label, a.code, a.name, a.statement_type FROM ({MAPPING}) m JOIN {ACCOUNTS.replace('AS t(', 'AS a(')} ON m.code = a.code ORDER BY source_label")
 def mapping_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details.mapping_list(view(spark, sf_dir, "part", MAPPING), schemas.accounts(spark)).select("mapping_id", "source_label", "code", "name", "statement_type")
+    return details.mapping_list(view(spark, sf_dir, "part", MAPPING), F.broadcast(schemas.accounts(spark))).select("mapping_id", "source_label", "code", "name", "statement_type")
 
 
 LOOKED_UP = [1, 7, 42, -5]
@@ -91,7 +91,7 @@ def reports_of_ticker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT report_id, coalesce(ord, 0) AS ord, ticker || ' · ' || period || ' ' || year AS label, e.code, a.name AS account_name, CASE a.statement_type WHEN 'INCOME_STATEMENT' THEN 'Income Statement' WHEN 'BALANCE_SHEET' THEN 'Balance Sheet' WHEN 'CASH_FLOW' THEN 'Cash Flow' WHEN 'OTHER' THEN 'Other' END AS statement,
   {PLAIN.format('value')} AS value FROM ({REPORT}) r JOIN ({COMPANY}) USING (company_id) LEFT JOIN ({ENTRY}) e USING (report_id) LEFT JOIN {ACCOUNTS.replace('AS t(', 'AS a(')} ON e.code = a.code""")
 def report_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = details.report_entries(reports(spark, sf_dir), companies(spark, sf_dir), entries(spark, sf_dir), schemas.accounts(spark))
+    got = details.report_entries(reports(spark, sf_dir), companies(spark, sf_dir), entries(spark, sf_dir), F.broadcast(schemas.accounts(spark)))
     label = details.report_label(F.col("ticker"), F.col("period"), F.col("year"))
     statement = details.chosen_label(F.col("statement_type"), details.STATEMENT_LABELS)
     return got.select("report_id", F.coalesce("ord", F.lit(0)).alias("ord"), label.alias("label"), "code", "account_name", statement.alias("statement"), details.plain_number(F.col("value")).alias("value"))
@@ -140,7 +140,7 @@ def diagnostics_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT report_id, ord, code, CASE WHEN statement_type <> 'OTHER' THEN report_id || '-' || statement_type END AS statement_id FROM e""")
 def statement_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its report's statement of the account's type."""
-    rows, accounts = entries(spark, sf_dir), schemas.accounts(spark)
+    rows, accounts = entries(spark, sf_dir), F.broadcast(schemas.accounts(spark))
     return details.with_statement(rows, accounts, details.statements_of(rows, accounts)).select("report_id", "ord", "code", "statement_id")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import details, pipeline
+from tallyloom.plans import catalog
 from tallyloom.sources import ranges
 
 
@@ -64,3 +65,9 @@ def test_nested_arrays_are_counted_and_dropped(spark):
 def test_pages_of_an_empty_list(spark):
     none = spark.createDataFrame([], ", ".join(f"{c} string" for c in pipeline.COLUMNS))
     assert {(r["total"], r["size"], r["pages"]) for r in pipeline.page_counts(none, [1, 99]).collect()} == {(0, 5, 1), (0, 50, 1)}
+
+
+def test_entries_are_not_shuffled_by_their_few_codes(spark):
+    for name in ("statement_lookup", "report_detail", "mapping_accounts"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(code#" not in plan, name
