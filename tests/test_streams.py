@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,21 @@ def test_logs_name_their_first_illegal_move(spark):
     rows = [(j, j * 10 + i, START + timedelta(seconds=i), *m.split()) for j, ms in moves.items() for i, m in enumerate(ms)] + [(6, 60, START, None, "CLAIMED")]
     got = jobs.log_violations(spark.createDataFrame(rows, "job_id long, event_id long, ts timestamp, from_status string, to_status string"))
     assert sorted((r["job_id"], r["event_id"], r["step"], r["state"], r["problem"]) for r in got.collect()) == [(2, 21, 2, "CLAIMED", "WRONG_STATE"), (3, 30, 1, "QUEUED", "NOT_ALLOWED"), (4, 41, 2, "CLAIMED", "NOT_ALLOWED"), (5, 53, 4, "SUCCEEDED", "NOT_ALLOWED"), (6, 60, 1, "QUEUED", "WRONG_STATE")]
+
+
+def test_a_job_sets_one_timer_for_what_waits():
+    class Handle:
+        timers: list[int] = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Kept:
+        def appendList(self, rows):
+            pass
+
+    got = leases.Leases(10, 5)
+    got.handle, got.waiting = Handle(), Kept()
+    part = pd.DataFrame({"at": [9_000_500, 2_000_000, 5_000_000], "event_id": [3, 1, 2], "kind": ["FINISH", "CLAIM", "HEARTBEAT"]})
+    assert list(got.handleInputRows((1,), iter([part, part.head(0)]), None)) == []
+    assert Handle.timers == [2_001]
