@@ -54,9 +54,9 @@ def to_long(wide: DataFrame, codes: Sequence[str] = CODES, keys: Sequence[str] =
 
 
 def to_wide(long: DataFrame, codes: Sequence[str] = CODES, keys: Sequence[str] = KEYS, scaled: bool = False) -> DataFrame:
-    """One column for each code of a fixed list. ``scaled``: values times their row's ``scale``, which plain reading ignores."""
+    """One column for each code of a fixed list, one group a report rather than one for each of its codes. ``scaled``: values times their row's ``scale``, which plain reading ignores."""
     value = F.col("value") * F.coalesce(F.nullif("scale", F.lit(0)), F.lit(1)) if scaled else F.col("value")
-    return long.groupBy(*keys).pivot("code", list(codes)).agg(F.max(value))
+    return long.groupBy(*keys).agg(*[F.max(F.when(F.col("code") == c, value)).alias(c) for c in codes])
 
 
 def standalone_quarters(long: DataFrame, flows: Sequence[str]) -> DataFrame:

@@ -213,3 +213,12 @@ def test_tables_are_declared(spark):
 def test_staged_rows_have_their_label_whole(spark):
     got = catalog.QUERIES["staged_values"](spark, "/root/testdata/sf0.001")
     assert {r["label"] for r in got.select("label").distinct().collect()} >= {"AFtext", "NOtext"}
+
+
+def test_facts_are_widened_by_one_group_a_report(spark):
+    rows = [(1, 2020, 4, "FY", "REV", 2.0), (1, 2020, 4, "FY", "CASH", float("nan")), (2, 2020, 4, "FY", "NOT_KNOWN", 1.0)]
+    got = facts.to_wide(spark.createDataFrame(rows, "company long, year int, period_ord int, period string, code string, value double"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan.lower()
+    a, b = got.orderBy("company").collect()
+    assert a["REV"] == 2.0 and math.isnan(a["CASH"]) and a["AP"] is None and b["REV"] is None
