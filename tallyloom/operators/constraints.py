@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,28 +68,42 @@ def broken_rows(rows: DataFrame, rules: Mapping[str, Column], key: str = "id") -
 
 
 def _keys(rows: DataFrame, keyed: Mapping[str, tuple[Sequence[str], Column]]) -> DataFrame:
-    """For each row and constraint the key as text; those with a null or left out by the constraint aren't given."""
-    entry = lambda name, columns, where: F.when(where & ~F.greatest(*(F.col(c).isNull() for c in columns), F.lit(False)), F.struct(F.lit(name).alias("constraint_name"), F.to_json(F.struct(*columns)).alias("key")))
+    """For each row and constraint the key as text, and its hash; those with a null or left out by the constraint aren't given."""
+    part = lambda c: F.col(c).cast("string")
+    text = lambda columns: part(columns[0]) if len(columns) == 1 else F.concat(*(x for c in columns for x in (F.length(part(c)), F.lit(":"), part(c))))
+    entry = lambda name, columns, where: F.when(where & ~F.greatest(*(F.col(c).isNull() for c in columns), F.lit(False)), F.struct(F.lit(name).alias("constraint_name"), text(columns).alias("key")))
     entries = F.array_compact(F.array(*[entry(name, columns, F.coalesce(where, F.lit(False))) for name, (columns, where) in keyed.items()]))
-    return rows.select("id", F.explode(entries).alias("k")).select(F.col("id").cast("string").alias("row_id"), "k.constraint_name", "k.key")
+    return rows.select("id", F.explode(entries).alias("k")).select(F.col("id").cast("string").alias("row_id"), "k.constraint_name", "k.key", F.xxhash64("k.key").alias("hash"))
+
+
+#: What keys are grouped by: the hash comes first, as rows are then sorted by a number and not by names that all begin alike.
+KEY = ("hash", "constraint_name", "key")
 
 
 def repeated(rows: DataFrame, uniques: Sequence[Unique]) -> DataFrame:
     """``constraint_name``, ``row_id`` (the smallest of a key's) and ``n_rows`` of every key that several rows have."""
-    keys = _keys(rows, {u.name: (u.columns, F.expr(u.where)) for u in uniques})
-    return keys.groupBy("constraint_name", "key").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1").drop("key")
+    count, out = F.count(F.lit(1)).alias("n_rows"), []
+    # A key that is the id itself names its rows, so rows of it are only counted, which needs no sort.
+    for own in (True, False):
+        keyed = {u.name: (u.columns, F.expr(u.where)) for u in uniques if (u.columns == ("id",)) == own}
+        if keyed:
+            keys = _keys(rows, keyed)
+            got = keys.groupBy(*KEY).agg(count).withColumn("row_id", F.col("key")) if own else keys.groupBy(*KEY).agg(F.min("row_id").alias("row_id"), count)
+            out.append(got.where("n_rows > 1").select("constraint_name", "row_id", "n_rows"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def orphaned(rows: DataFrame, foreign: Sequence[Foreign], tables: Mapping[str, DataFrame]) -> DataFrame:
     """``constraint_name``, ``row_id`` (the smallest of a key's) and ``n_rows`` of every key that no parent has."""
     entries = F.array(*[F.struct(F.lit(f.name).alias("constraint_name"), F.col(f.column).cast("string").alias("key")) for f in foreign])
     keys = rows.select(F.col("id").cast("string").alias("row_id"), F.explode(entries).alias("k")).where("k.key IS NOT NULL")
-    children = keys.groupBy("k.constraint_name", "k.key").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows"))
+    keys = keys.select("row_id", "k.constraint_name", "k.key", F.xxhash64("k.key").alias("hash"))
+    children = keys.groupBy(*KEY).agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n_rows"))
     parents = None
     for f in foreign:
         part = tables[f.parent].select(F.lit(f.name).alias("constraint_name"), F.col(f.parent_column).cast("string").alias("key"))
         parents = part if parents is None else parents.unionByName(part)
-    return children.join(parents, ["constraint_name", "key"], "left_anti").drop("key")
+    return children.join(parents.withColumn("hash", F.xxhash64("key")), list(KEY), "left_anti").drop("hash", "key")
 
 
 def violations(tables: Mapping[str, DataFrame], catalogue: Mapping[str, Table]) -> DataFrame:

@@ -89,3 +89,11 @@ def test_gaps_at_both_ends_and_expiry(spark):
     df = uploads.states(spark.createDataFrame(sessions, "session_id int, status string, expected_size int, part_size int, expires_at timestamp"), spark.createDataFrame(parts, "session_id int, part_number int, size int"), F.lit(now))
     got = {r["session_id"]: (r["state"], [tuple(x) for x in r["missing"]]) for r in df.collect()}
     assert got == {1: ("UPLOADING", [(1, 1), (4, 5), (7, 10)]), 2: ("UPLOADED", []), 3: ("ABORTED", [(1, 2)]), 4: ("UPLOADED", []), 5: ("VERIFIED", [(1, 2)]), 6: ("FAILED", []), 7: ("INITIATED", [(1, 2)])}
+
+
+def test_own_keys_are_counted_without_a_sort_and_long_keys_stay_apart(spark):
+    rows = spark.createDataFrame([("x", "1:2", "3"), ("x", "1", "2:3"), ("y", "1", "2:3"), ("z", None, "q")], "id string, a string, b string")
+    own = constraints.repeated(rows, [constraints.Unique("pkey", ("id",))])
+    assert "SortAggregate" not in own._jdf.queryExecution().executedPlan().toString()
+    got = constraints.repeated(rows, [constraints.Unique("pkey", ("id",)), constraints.Unique("both", ("a", "b"))])
+    assert sorted(map(tuple, got.collect())) == [("both", "x", 2), ("pkey", "x", 2)]
